@@ -27,8 +27,10 @@ BACKGROUND, UNIFORM = 0.3, 0.6
 MOST_SAMPLES, MOST_DOCUMENTS = 20_000, 4_000
 #: A sentence of prose has so many words, of so many letters in all.
 FEWEST_WORDS, FEWEST_LETTERS = 4, 16
-#: Logarithmic odds: of a switch of language at a sentence; for a document to be in any language; for a sentence to be fitted on.
-SWITCH, PROSE, AGREES = 20.0, 8.0, 20.0
+#: Logarithmic odds against a switch of language at a sentence, and those that a sentence needs to be fitted on.
+SWITCH, AGREES = 20.0, 20.0
+#: By how much the n-grams of prose are likelier than those of random letters, as the mean logarithm against equal shares: in a language at least 2.2, of random letters at most 1.6.
+PROSE = 1.85
 KEPT_SENTENCES, KEPT_LETTERS = 100_000, 10_000_000
 
 # Codes and names of the languages, in lower case.
@@ -44,6 +46,7 @@ NAMES = {
 }
 LABELS = {name: code for code, names in NAMES.items() for name in names.split()}
 
+ASIDE = re.compile(r"\([^()]*\)")
 LETTERS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?…\n]*(?:\.(?=\w)[^.!?…\n]*)*[.!?…]+[\"'»”’)\]]*(?=\s|$)")
 
@@ -118,14 +121,24 @@ class Classifier:
         return np.concatenate(out) if out else np.zeros((0, len(self.codes)))
 
     def languages(self, scores: np.ndarray) -> list[tuple[int, float]]:
-        """Language and posterior probability of each sentence of one document; (-1, 0) if the text is no prose in any of them."""
-        total = np.sort(scores.sum(axis=0))
-        if not len(scores) or (len(total) > 1 and total[-1] - total[-2] < PROSE):
-            return [(-1, 0.0)] * len(scores)
-        s = scores.copy()
-        s[:, scores.sum(axis=0).argmax()] += SWITCH
+        """Language and posterior probability of each sentence of one document, (-1, 0) for one without scores (no prose)."""
+        prose = ~np.isnan(scores[:, 0])
+        s = np.nan_to_num(scores)
+        s[:, s.sum(axis=0).argmax()] += SWITCH
         best = s.max(axis=1)
-        return list(zip(s.argmax(axis=1).tolist(), (1.0 / np.exp(s - best[:, None]).sum(axis=1)).tolist(), strict=True))
+        sure = 1.0 / np.exp(s - best[:, None]).sum(axis=1)
+        return [(int(k), float(p)) if ok else (-1, 0.0) for k, p, ok in zip(s.argmax(axis=1), sure, prose, strict=True)]
+
+
+def scored(classifier: Classifier, texts: list[str]) -> np.ndarray:
+    """The scores of sentences; not a number for what is no prose. What stands in brackets, often a foreign name or phrase, does not count."""
+    plain = [letters(ASIDE.sub(" ", t)) for t in texts]
+    plain = [p if len(p) > FEWEST_LETTERS else letters(t) for p, t in zip(plain, texts, strict=True)]
+    s = classifier.scores(plain)
+    if len(s):
+        grams_of = np.array([sum(max(0, len(p) - n + 1) for n in ORDERS) for p in plain])
+        s[s.max(axis=1) / grams_of + np.log(BUCKETS) < PROSE] = np.nan
+    return s
 
 
 def sentences(text: str) -> list[str]:
@@ -189,7 +202,7 @@ class Reader:
             self.known, self.held = {}, 0
         split = [sentences(t) if t else [] for t in texts]
         new = list(dict.fromkeys(s for doc in split for s in doc if s not in self.known))
-        self.known.update(zip(new, self.classifier.scores([letters(s) for s in new]), strict=True))
+        self.known.update(zip(new, scored(self.classifier, new), strict=True))
         self.held += sum(map(len, new))
         out = []
         for doc in split:
