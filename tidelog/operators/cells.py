@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tidelog.functions import exprs as X
 from tidelog.operators.near import RADIUS_M, containing, haversine, near
+from tidelog.session import cut
 
 COLUMNS = ["cell_id", "cell_ll_lat", "cell_ll_lon", "centroid_lat", "centroid_lon", "depth_mean_m", "depth_min_m", "eez_sovereign", "eez_territory", "eez_iso", "distance_to_port_m", "in_mpa"]
 #: Sites that are sent to every task at most; beyond that the search widens ring by ring.
@@ -107,11 +108,11 @@ def nearest(points: DataFrame, sites: DataFrame, point: tuple[str, Column, Colum
         return p.mapInPandas(run, f"point_id {kind}, distance_m double").where(~F.isnan("distance_m"))
     out, left, radius = None, p, 50_000.0
     while True:
-        ring = near(left, s, radius, ("point_id", F.col("lat"), F.col("lon")), ("id", F.col("lat"), F.col("lon"))).groupBy("point_id").agg(F.min("distance_m").alias("distance_m"))
+        ring = cut(near(left, s, radius, ("point_id", F.col("lat"), F.col("lon")), ("id", F.col("lat"), F.col("lon"))).groupBy("point_id").agg(F.min("distance_m").alias("distance_m")))
         out = ring if out is None else out.unionByName(ring)
         if radius >= RADIUS_M * np.pi:
             return out
-        left = left.join(ring, "point_id", "left_anti")
+        left = cut(left.join(ring, "point_id", "left_anti"))
         if not left.limit(1).count():
             return out
         radius = min(radius * 4.0, RADIUS_M * np.pi + 1.0)
