@@ -149,6 +149,28 @@ def _matcher(draws: int, edges: list[tuple[str, str, float, int]]):
         chosen = np.take_along_axis(near, nearest, axis=1)[np.arange(len(want)), pick]
         return pd.DataFrame({"field": field, "id": who, "donor_id": ids[chosen], "donor_group": key, "predicted": want, "donor_predicted": pred[chosen]})
 
+    def vessels(f: pd.DataFrame) -> pd.DataFrame:
+        """As group() for many whole vessel groups at once, in which the one nearest donor is taken: the last donor before a gap or the first after it."""
+        field, key, pred, ids, gap = (f[c].to_numpy() for c in ("field", "key", "pred", "id", "gap"))
+        code = np.cumsum(np.concatenate([[0], (field[1:] != field[:-1]) | (key[1:] != key[:-1])]).astype(np.int64))
+        at = np.arange(len(f))
+        last = np.maximum.accumulate(np.where(gap, -1, at))
+        next_ = np.minimum.accumulate(np.where(gap, len(f), at)[::-1])[::-1]
+        donors = np.flatnonzero(~gap)
+        if not len(donors):
+            return f[:0][["field", "id"]]
+        new = np.concatenate([[True], (pred[donors][1:] != pred[donors][:-1]) | (code[donors][1:] != code[donors][:-1])])
+        smallest = np.full(len(f) + 1, -1)  # of the donors with one prediction, the one with the smallest id
+        smallest[donors] = donors[np.maximum.accumulate(np.where(new, np.arange(len(donors)), 0))]
+        g = np.flatnonzero(gap)
+        low, high = last[g], next_[g]
+        has_low, has_high = (low >= 0) & (code[low] == code[g]), (high < len(f)) & (code[np.minimum(high, len(f) - 1)] == code[g])
+        low = np.where(has_low & (pred[low] == pred[g]), smallest[low], low)
+        high = np.minimum(high, len(f) - 1)
+        far_low, far_high = np.where(has_low, np.abs(pred[low] - pred[g]), np.inf), np.where(has_high, np.abs(pred[high] - pred[g]), np.inf)
+        chosen = np.where((far_low < far_high) | ((far_low == far_high) & (ids[low] < ids[high])), low, high)
+        return pd.DataFrame({"field": field[g], "id": ids[g], "donor_id": ids[chosen], "donor_group": key[g], "predicted": pred[g], "donor_predicted": pred[chosen]})[has_low | has_high]
+
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for f in frames:  # sorted by field, key: only the last group of a batch can go on
@@ -160,8 +182,13 @@ def _matcher(draws: int, edges: list[tuple[str, str, float, int]]):
                 continue
             f = pd.concat(held, ignore_index=True)
             open_ = ((f["field"] == last[0]) & (f["key"] == last[1])).to_numpy()
-            held = [f[open_]]
-            for (field, key), g in f[~open_].groupby(["field", "key"], sort=False):
+            held, f = [f[open_]], f[~open_]
+            many = f["key"].str.startswith("v:")
+            for field, key in outer:  # groups that other partitions may hold too
+                many &= (f["field"] != field) | (f["key"] != key)
+            if many.any():
+                yield vessels(f[many])
+            for (field, key), g in f[~many].groupby(["field", "key"], sort=False):
                 if (r := group(field, key, g)) is not None:
                     yield r
         if held:
