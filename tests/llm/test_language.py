@@ -11,7 +11,7 @@ def samples(spark):
 
 
 def test_labels():
-    for name, code in {"en_US": "en", "English": "en", "pt-BR": "pt", "ger": "de", " FR ": "fr", "xx": None, "": None, None: None, "??": None, "und": None, "nld": "nl"}.items():
+    for name, code in {"en_US": "en", "English": "en", "pt-BR": "pt", "ger": "de", " FR ": "fr", "xx": None, "": None, None: None, "??": None, "und": None, "nld": "nl", "Brazilian Portuguese": "pt", "zh-DE": None, "русский": "ru"}.items():
         assert label_of(name) == code
 
 

@@ -52,11 +52,12 @@ SENTENCE = re.compile(r"[^.!?…\n]*(?:\.(?=\w)[^.!?…\n]*)*[.!?…]+[\"'»”
 
 
 def label_of(name: str | None) -> str | None:
-    """The language that a label names: a code or name, with or without a region."""
+    """The language that a label names: a code or name, with or without a region. A short word is a code only at the start."""
     if name is None:
         return None
-    words = re.split(r"[^\w]+|_", name.strip().lower())
-    return LABELS.get(words[0]) if words and words[0] else None
+    words = [w for w in re.split(r"[^\w]+|_", name.strip().lower()) if w]
+    found = [LABELS[w] for i, w in enumerate(words) if w in LABELS and (i == 0 or len(w) > 3)]
+    return found[0] if found else None
 
 
 def letters(text: str) -> str:
