@@ -15,19 +15,23 @@ METRES_PER_MILE = 1852.0
 SEASONS = {"summer": (12, 1, 2), "autumn": (3, 4, 5), "winter": (6, 7, 8), "spring": (9, 10, 11)}
 
 
+# Fixed value: the space separators of Unicode.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def trimmed(c: Column) -> Column:
     """Without space separators, of any width, at the ends; tabs stay."""
-    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def parsed_day(c: Column) -> Column:
     """The date of a text like 2023-01-05 or 2023/1/5; null for anything shorter or else."""
-    text = F.regexp_replace(c, "/", "-")
-    return F.when(text.rlike(r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), text.try_cast("date"))
+    text = F.translate(c, "/", "-")
+    return F.when((F.substring_index(text, "-", 2) != text) & ~text.startswith("-"), text.try_cast("date"))
 
 
 def off_grid(c: Column) -> Column:
-    return F.abs(c * F.lit(10.0) - F.round(c * F.lit(10.0))) > F.lit(OFF_GRID)
+    return F.abs(c * F.lit(10.0) - F.rint(c * F.lit(10.0))) > F.lit(OFF_GRID)
 
 
 def row_reject_reason() -> Column:
@@ -57,12 +61,18 @@ def vessel_reject_reason() -> Column:
 
 
 def snapped(c: Column) -> Column:
-    """On the grid of tenths of a degree, without a negative zero."""
-    return F.round(c * F.lit(10.0)) / F.lit(10.0) + F.lit(0.0)
+    """On the grid of tenths of a degree, without a negative zero. Of coordinates near a grid line, as others are refused."""
+    return F.rint(c * F.lit(10.0)) / F.lit(10.0) + F.lit(0.0)
 
 
 def cell_id(lat: Column, lon: Column) -> Column:
-    return F.format_string("%.1f_%.1f", lat, lon)
+    """lat_lon with one decimal each, of coordinates on the grid."""
+
+    def tenths(c: Column) -> Column:
+        n = F.rint(c * F.lit(10.0)).cast("int")
+        return F.concat(F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 10.0).cast("string"), F.lit("."), (F.abs(n) % 10).cast("string"))
+
+    return F.concat(tenths(lat), F.lit("_"), tenths(lon))
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -12,7 +12,11 @@ YEARS = (2023, 2024)
 
 
 def staged(bronze: DataFrame) -> DataFrame:
-    return bronze.withColumn("reject_reason", X.row_reject_reason())
+    """bronze with reject_reason.
+
+    The reason comes by a generator of one value, which the optimizer does not copy into later filters and projections as
+    it would a plain expression: it is worked out once a row, and the code of a stage stays small enough to be compiled."""
+    return bronze.drop("reject_reason").select("*", F.explode(F.array(X.row_reject_reason())).alias("reject_reason"))
 
 
 def quarantined(stage: DataFrame) -> DataFrame:
