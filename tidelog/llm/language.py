@@ -161,7 +161,7 @@ def fitted(samples: DataFrame, documents: DataFrame | None = None) -> Classifier
     first = Classifier([(r["lang"], r["text"]) for r in rows])
     if documents is None or not first.codes:
         return first
-    named = F.lower(F.regexp_extract(F.trim("lang"), r"^([^\\W_]+)", 1)).isin(*(n for n, c in LABELS.items() if c in first.codes))
+    named = F.lower(F.regexp_extract(F.trim("lang"), r"^([^\W_]+)", 1)).isin(*(n for n, c in LABELS.items() if c in first.codes))
     known = documents.where(named & F.col("text").isNotNull())
     last = known.select("doc_id").orderBy("doc_id").limit(MOST_DOCUMENTS).agg(F.max("doc_id")).first()[0]
     if last is None:

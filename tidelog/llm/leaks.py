@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tidelog.llm.markup import plain
 
 WORD = re.compile(r"[^\W_]+")
@@ -158,6 +159,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, tile: int
     kind = documents.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType
     schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, longest int, coverage double, tiles int"
+    item_type = to_arrow_type(item_kind)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     rows = items.where(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id")
 
@@ -170,7 +172,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, tile: int
                 for i, t in enumerate(b.column(1).to_pylist()):
                     found += [(i, *f) for f in finder.find(t)] if t else []
                 at = pa.array([f[0] for f in found], pa.int64())
-                columns = [ids.take(at), *(pa.array([f[k] for f in found], t) for k, t in ((1, None if found else pa.int64()), (2, pa.int32()), (3, pa.float64()), (4, pa.int32())))]
+                columns = [ids.take(at), *(pa.array([f[k] for f in found], t) for k, t in ((1, item_type), (2, pa.int32()), (3, pa.float64()), (4, pa.int32())))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "longest", "coverage", "tiles"])
 
         return texts.mapInArrow(run, schema)
