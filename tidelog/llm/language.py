@@ -29,7 +29,7 @@ MOST_SAMPLES, MOST_DOCUMENTS = 20_000, 4_000
 FEWEST_WORDS, FEWEST_LETTERS = 4, 16
 #: Logarithmic odds against a switch of language at a sentence, and those that a sentence needs to be fitted on.
 SWITCH, AGREES = 20.0, 20.0
-#: By how much the n-grams of prose are likelier than those of random letters, as the mean logarithm against equal shares: in a language at least 2.2, of random letters at most 1.6.
+#: By how much the n-grams of prose are likelier than those of random letters, as the mean logarithm against equal shares: on the test corpus at least 2.2 for sentences and at most 1.6 for random letters.
 PROSE = 1.85
 KEPT_SENTENCES, KEPT_LETTERS = 100_000, 10_000_000
 
