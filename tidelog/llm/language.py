@@ -6,7 +6,7 @@ up their rows, add them up by sentence. A sentence leaves the language of its do
 the odds of a switch. Neighbouring sentences of one language form a segment.
 
 The classifier is fitted on the labelled samples and then, as these are few, on a bounded number of labelled documents: on
-those of their sentences for which the first fit clearly agrees with the label.
+the sentences of those for which the first fit clearly agrees with the label.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ BACKGROUND, UNIFORM = 0.3, 0.6
 MOST_SAMPLES, MOST_DOCUMENTS = 20_000, 4_000
 #: A sentence of prose has so many words, of so many letters in all.
 FEWEST_WORDS, FEWEST_LETTERS = 4, 16
-#: Logarithmic odds against a switch of language at a sentence, and those that a sentence needs to be fitted on.
+#: Logarithmic odds against a switch of language at a sentence, and those that a document needs to be fitted on.
 SWITCH, AGREES = 20.0, 20.0
 #: By how much the n-grams of prose are likelier than those of random letters, as the mean logarithm against equal shares: on the test corpus at least 2.2 for sentences and at most 1.6 for random letters.
 PROSE = 1.85
@@ -156,7 +156,9 @@ def sentences(text: str) -> list[str]:
 def fitted(samples: DataFrame, documents: DataFrame | None = None) -> Classifier:
     """A classifier from samples (sample_id, lang, text; at most MOST_SAMPLES) and documents (doc_id, lang, text; at most MOST_DOCUMENTS with a label that names a language).
 
-    A document's sentence is used if the first fit prefers the language of the label to all others by AGREES."""
+    A document is used if the first fit, over all of its sentences, prefers the language of the label to all others by
+    AGREES; of its sentences those for which no other language is preferred by SWITCH. So sentences that the first fit
+    cannot tell apart are learned from the documents they stand in."""
     rows = samples.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("sample_id", "lang", "text").orderBy("sample_id", "text").limit(MOST_SAMPLES).collect()
     first = Classifier([(r["lang"], r["text"]) for r in rows])
     if documents is None or not first.codes:
@@ -166,19 +168,16 @@ def fitted(samples: DataFrame, documents: DataFrame | None = None) -> Classifier
     last = known.select("doc_id").orderBy("doc_id").limit(MOST_DOCUMENTS).agg(F.max("doc_id")).first()[0]
     if last is None:
         return first
-    agreed = []
+    agreed = set()
     for r in known.where(F.col("doc_id") <= F.lit(last)).select("lang", "text").limit(MOST_DOCUMENTS).collect():
         code = label_of(r["lang"])
-        if code in first.codes:
-            agreed += [(code, letters(s)) for s in sentences(r["text"])]
-    agreed = sorted(set(agreed))
-    if agreed:
-        s = first.scores([t for _, t in agreed])
-        own = np.array([first.codes.index(c) for c, _ in agreed])
-        rest = s.copy()
-        rest[np.arange(len(own)), own] = -np.inf
-        good = s[np.arange(len(own)), own] - rest.max(axis=1) >= AGREES
-        first.add([x for x, ok in zip(agreed, good, strict=True) if ok])
+        texts = [letters(ASIDE.sub(" ", x)) for x in sentences(r["text"])] if code in first.codes else []
+        if texts:
+            own, s = first.codes.index(code), first.scores(texts)
+            total = s.sum(axis=0)
+            if total[own] - np.delete(total, own).max(initial=-np.inf) >= AGREES:
+                agreed.update((code, t) for t, x in zip(texts, s, strict=True) if x.max() - x[own] < SWITCH and len(t) > FEWEST_LETTERS)
+    first.add(sorted(agreed))
     return first
 
 
