@@ -29,6 +29,15 @@ def test_silver(spark):
     assert clean.silver(clean.staged(spark.createDataFrame([], KINDS))).count() == 0
 
 
+def test_vessel_years(spark):
+    rows = [(1, "280000001", 2023, "A", 1.0), (2, " 280000001 ", 2023, "B", None), (3, "280000001", 2023, "B", 5.0), (4, "280000001", 2023, "B", 5.0), (5, "280000001", 2020, None, None), (6, "28A", 2023, "A", 1.0), (7, None, 2023, "A", 1.0), (8, "280000001", None, "A", 1.0)]
+    df = spark.createDataFrame(rows, "vessel_row_id long, mmsi string, year int, registries_listed string, fishing_hours double")
+    assert [r["vessel_row_id"] for r in clean.clean_vessels(df).collect()] == [3]
+    got = {r["vessel_row_id"]: r["reject_reason"] for r in clean.vessel_quarantine(df).collect()}
+    assert got == {1: "duplicate_mmsi_year", 2: "duplicate_mmsi_year", 4: "duplicate_mmsi_year", 6: "mmsi_non_digit", 7: "missing_mmsi", 8: "missing_year"}
+    assert clean.clean_vessels(df.limit(0)).count() == 0
+
+
 def test_values(spark):
     df = spark.createDataFrame([("280 000 711",), ("MMSI 280008450",), ("280000722.0",), ("280-001671",), ("\t280001457 ",), ("28A",), ("",), (None,), ("2800007220",), ("280000722.5",)], "m string")
     assert [r[0] for r in df.select(vessel_of(F.col("m"))).collect()] == ["280000711", "280008450", "280000722", "280001671", "280001457", None, None, None, None, None]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from tidelog.functions import exprs as X
 
 SILVER = ["date", "cell_ll_lat", "cell_ll_lon", "mmsi", "hours", "fishing_hours", "cell_id", "fishing_ratio", "year", "month"]
@@ -76,22 +75,27 @@ def missing_days(bronze: DataFrame) -> DataFrame:
     return days.withColumn("days_expected", F.when(leap, 366).otherwise(365))
 
 
-def ranked_vessels(vessels: DataFrame, tie: str = "vessel_row_id") -> DataFrame:
-    """Usable vessel rows numbered within vessel and year: most registries first, then most fishing hours, then the smallest id.
+def usable_vessels(vessels: DataFrame) -> DataFrame:
+    return vessels.where(X.vessel_reject_reason().isNull())
 
-    Rows are first reduced to ordering columns by Spark's window group limit only where rn = 1 is asked for; a hot vessel's years still share its rows out."""
-    good = vessels.where(X.vessel_reject_reason().isNull())
-    order = Window.partitionBy(X.trimmed(F.col("mmsi")), "year").orderBy(F.col("registries_listed").desc_nulls_last(), F.col("fishing_hours").desc_nulls_last(), F.col(tie).asc())
-    return good.withColumn("rn", F.row_number().over(order))
+
+def best_vessel_rows(vessels: DataFrame, row_id: str = "vessel_row_id") -> DataFrame:
+    """The usable row of each vessel and year with the most registries (as text), then the most fishing hours, then the smallest id; nulls come last.
+
+    One aggregate that combines map-side, so copies of a hot vessel are thinned out before they move."""
+    order = F.struct("registries_listed", "fishing_hours", (-F.col(row_id)).alias("_neg"), F.struct(*vessels.columns).alias("_row"))
+    best = usable_vessels(vessels).groupBy(X.trimmed(F.col("mmsi")).alias("_mmsi"), F.col("year").alias("_year")).agg(F.max(order)["_row"].alias("_row"))
+    return best.select("_row.*")
 
 
 def clean_vessels(vessels: DataFrame, years: tuple[int, ...] = YEARS) -> DataFrame:
-    return ranked_vessels(vessels).where((F.col("rn") == 1) & F.col("year").isin(*years)).drop("rn").withColumn("mmsi", X.trimmed(F.col("mmsi")))
+    return best_vessel_rows(vessels.where(F.col("year").isin(*years))).withColumn("mmsi", X.trimmed(F.col("mmsi")))
 
 
-def vessel_quarantine(vessels: DataFrame) -> DataFrame:
+def vessel_quarantine(vessels: DataFrame, row_id: str = "vessel_row_id") -> DataFrame:
+    """Unusable rows, and usable ones that are not the best of their vessel and year, of all years. row_id must be unique."""
     invalid = vessels.withColumn("reject_reason", X.vessel_reject_reason()).where(F.col("reject_reason").isNotNull())
-    doubles = ranked_vessels(vessels).where(F.col("rn") > 1).drop("rn").withColumn("reject_reason", F.lit("duplicate_mmsi_year"))
+    doubles = usable_vessels(vessels).join(best_vessel_rows(vessels, row_id).select(row_id), row_id, "left_anti").withColumn("reject_reason", F.lit("duplicate_mmsi_year"))
     return invalid.unionByName(doubles)
 
 
