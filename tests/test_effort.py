@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import exprs as X
 from tidelog.functions.values import clean_text, vessel_of
 from tidelog.operators import als, clean, effort, ranking, serve
+from tidelog.plans import effort as plans
 
 BASE = {"date": "2023-01-01", "cell_ll_lat": -42.3, "cell_ll_lon": 147.1, "mmsi": "503000001", "hours": 2.0, "fishing_hours": 1.0, "file_date": dt.date(2023, 1, 1)}
 KINDS = "date string, cell_ll_lat double, cell_ll_lon double, mmsi string, hours double, fishing_hours double, file_date date"
@@ -125,6 +126,16 @@ def test_als_is_exact_in_every_mode(spark, monkeypatch):
         assert np.allclose([top[u][j + 1] for j in range(len(want))], want, atol=1e-6)
 
 
+def test_factor_queries_run_with_the_production_defaults(spark, monkeypatch):
+    rows, pairs = make_pairs(spark)
+    users, items, x, y = dense_als(rows, min(64, len({c for _, c, _ in rows})), 20.0, 0.1, 12)
+    monkeypatch.setattr(plans, "_split", lambda spark, d: (pairs, pairs))
+    got = {r["mmsi"]: r["f"] for r in plans.als_fit(spark, "").collect()}
+    assert np.allclose(np.array([got[u] for u in users]) @ y.T, x @ y.T, atol=1e-6)
+    score = {(r["mmsi"], r["cell_id"]): r["score"] for r in plans.als_recommend(spark, "").collect()}
+    assert score and all(abs(s - x[users.index(u)] @ y[items.index(c)]) < 1e-6 for (u, c), s in score.items())
+
+
 def test_als_by_joins(spark, monkeypatch):
     """With nothing shipped the factors are joined to the pairs; users solved from given item factors agree."""
     rows, pairs = make_pairs(spark, 10, 6)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,19 +53,24 @@ def _solved(a: np.ndarray, b: np.ndarray, gram: np.ndarray, regularization: floa
     return np.linalg.solve(a + gram + regularization * np.eye(len(b)), b).tolist()
 
 
+def _matrix(f: pa.Array) -> np.ndarray:
+    """A column of equally long lists as rows of a matrix, without Python objects for its numbers."""
+    return f.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1) if len(f) else np.zeros((0, 0))
+
+
 def _half_step(grouped: DataFrame, factors: DataFrame, rank: int, regularization: float, n: int) -> DataFrame:
     """The factors (ix, f) of one side, given the other side's."""
     gram = np.zeros((rank, rank))
     for r in factors.mapInPandas(_grams(rank), "g array<double>").collect():  # one row a partition
         gram += np.array(r["g"]).reshape(rank, rank)
     if n * rank * 8 <= SHIPPED:
-        rows = factors.toPandas()  # at most SHIPPED bytes
         table = np.zeros((n, rank))
-        if len(rows):
-            table[rows["ix"].to_numpy()] = np.stack(rows["f"].to_numpy())
+        for b in factors.select("ix", "f").toArrow().to_batches():  # at most SHIPPED bytes
+            table[b.column(0).to_numpy()] = _matrix(b.column(1))
         shipped = grouped.sparkSession.sparkContext.broadcast(table)
         pick, source = (lambda row: shipped.value[np.asarray(row.o)]), grouped
     else:
+        shipped = None
         flat = grouped.select("ix", "chunk", "chunks", F.explode(F.arrays_zip("o", "c")).alias("p")).select("ix", "chunk", "chunks", "p.*")
         joined = flat.join(factors.withColumnRenamed("ix", "o"), "o")
         source = joined.groupBy("ix", "chunk", "chunks").agg(F.collect_list("c").alias("c"), F.collect_list("f").alias("f"))
@@ -87,6 +93,8 @@ def _half_step(grouped: DataFrame, factors: DataFrame, rank: int, regularization
         return pd.DataFrame({"ix": frame["ix"][:1], "f": [_solved(a, b, gram, regularization)]})
 
     parts = cut(source.mapInPandas(run, "ix int, f array<double>, a array<double>, b array<double>"))
+    if shipped is not None:
+        shipped.destroy()  # parts are written, so nothing asks for it again
     return parts.where(F.col("f").isNotNull()).select("ix", "f").unionByName(parts.where(F.col("f").isNull()).groupBy("ix").applyInPandas(add, "ix int, f array<double>"))
 
 
@@ -146,8 +154,8 @@ def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, block
     who = cut(users.select("mmsi", "f").join(seen_ix, "mmsi", "left"))
     best = None
     for at in range(0, n, block):
-        part = numbered.where((F.col("ix") >= at) & (F.col("ix") < at + block)).orderBy("ix").toPandas()  # at most `block` rows
-        shipped = users.sparkSession.sparkContext.broadcast((np.stack(part["f"].to_numpy()), part["cell_id"].tolist()))
+        part = [b for b in numbered.where((F.col("ix") >= at) & (F.col("ix") < at + block)).orderBy("ix").select("f", "cell_id").toArrow().to_batches() if len(b)]  # at most `block` rows
+        shipped = users.sparkSession.sparkContext.broadcast((np.concatenate([_matrix(b.column(0)) for b in part]), [c for b in part for c in b.column(1).to_pylist()]))
 
         def run(frames: Iterator[pd.DataFrame], shipped=shipped, at=at) -> Iterator[pd.DataFrame]:
             y, names = shipped.value

@@ -12,7 +12,6 @@ from tidelog.session import cut, table
 from tidelog.sources.geojson import polygon_pieces
 
 SOVEREIGN = "Norvale"
-SETTINGS = {"factors": 16, "alpha": 10.0, "iterations": 4}
 
 
 def bronze(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +217,7 @@ def season_weights(spark, d):
 def store(spark, d, factors: bool = False) -> serve.Store:
     e, pairs = _split(spark, d)
     v = cut(vessels(spark, d))
-    users, items = als.fit_als(pairs, **SETTINGS) if factors else (None, None)
+    users, items = als.fit_als(pairs) if factors else (None, None)
     return serve.Store(e, pairs, table(spark, d, "cells"), cut(clean.latest_vessels(v)), v, users, items)
 
 
@@ -272,18 +271,18 @@ def anomalies(spark, d):
 
 def als_fit(spark, d):
     e, pairs = _split(spark, d)
-    return als.fit_als(pairs, **SETTINGS)[0]
+    return als.fit_als(pairs)[0]
 
 
 def als_recommend(spark, d):
     e, pairs = _split(spark, d)
-    users, items = als.fit_als(pairs, **SETTINGS)
+    users, items = als.fit_als(pairs)
     return als.recommend(users, items, pairs, 10)
 
 
 def _folded(spark, d):
     e, pairs = _split(spark, d)
-    users, items = als.fit_als(pairs, **SETTINGS)
+    users, items = als.fit_als(pairs)
     features, _, _ = als.encode_vessels(e.select("mmsi").distinct(), clean.latest_vessels(vessels(spark, d)))
     features = cut(features)
     return e, pairs, users, items, als.fold_in(features, als.fit_foldin(features, users))
