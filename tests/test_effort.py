@@ -136,6 +136,33 @@ def test_factor_queries_run_with_the_production_defaults(spark, monkeypatch):
     assert score and all(abs(s - x[users.index(u)] @ y[items.index(c)]) < 1e-6 for (u, c), s in score.items())
 
 
+@pytest.fixture
+def trained(spark, monkeypatch):
+    """Events before, in and after the validation window; every fit is written down and cut to one iteration."""
+    days = [dt.date(2024, 3, 1), dt.date(2024, 8, 1), dt.date(2024, 11, 1)]
+    rng = random.Random(3)
+    rows = {(f"u{u}", f"c{rng.randrange(70):03d}", days[k % 3]): 1.0 + k for u in range(8) for k in range(24)}
+    rows |= {("new", f"c{i:03d}", days[2]): 1.0 for i in range(3)}
+    e = spark.createDataFrame([(*k, h) for k, h in rows.items()], "mmsi string, cell_id string, date date, fishing_hours double")
+    names = [*(f"u{u}" for u in range(8)), "new"]
+    vessels = spark.createDataFrame([(k, m, 2024, "trawlers", "NRV", 10.0 + k, 5.0, 3.0) for k, m in enumerate(names)], "vessel_row_id long, mmsi string, year int, vessel_class_gfw string, flag_gfw string, length_m_gfw double, tonnage_gt_gfw double, engine_power_kw_gfw double")
+    monkeypatch.setattr(plans, "kept_events", lambda spark, d: e)
+    monkeypatch.setattr(plans, "vessels", lambda spark, d: vessels)
+    fits, fit = [], als.fit_als
+    monkeypatch.setattr(als, "fit_als", lambda pairs, **kw: (fits.append(kw), fit(pairs, **{**kw, "iterations": 1}))[1])
+    return fits
+
+
+def test_tuning_tries_the_grid_and_its_best_is_refitted(spark, trained):
+    trials = plans.als_tune(spark, "").collect()
+    assert trained == als.GRID and [(r["factors"], r["regularization"], r["alpha"]) for r in trials] == [(g["factors"], g["regularization"], g["alpha"]) for g in als.GRID]
+    best = max(trials, key=lambda r: r["precision"])
+    assert [r for r in trials if r["best"]] == [best]
+    trained.clear()
+    plans.als_metrics(spark, "")
+    assert trained[:6] == als.GRID and trained[6:] == [{k: best[k] for k in als.GRID[0]}]
+
+
 def test_als_by_joins(spark, monkeypatch):
     """With nothing shipped the factors are joined to the pairs; users solved from given item factors agree."""
     rows, pairs = make_pairs(spark, 10, 6)

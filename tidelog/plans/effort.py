@@ -280,9 +280,9 @@ def als_recommend(spark, d):
     return als.recommend(users, items, pairs, 10)
 
 
-def _folded(spark, d):
+def _folded(spark, d, tuned=False):
     e, pairs = _split(spark, d)
-    users, items = als.fit_als(pairs)
+    users, items = als.fit_als(pairs, **(_tuned(e)[0] if tuned else {}))
     features, _, _ = als.encode_vessels(e.select("mmsi").distinct(), clean.latest_vessels(vessels(spark, d)))
     features = cut(features)
     return e, pairs, users, items, als.fold_in(features, als.fit_foldin(features, users))
@@ -298,8 +298,8 @@ def hybrid_recommend(spark, d):
 
 
 def als_metrics(spark, d):
-    """Seven rows of metrics: each model on warm and on cold vessels."""
-    e, pairs, users, items, folded = _folded(spark, d)
+    """Seven rows of metrics: each model on warm and on cold vessels, fitted with the best setting of the grid."""
+    e, pairs, users, items, folded = _folded(spark, d, tuned=True)
     relevant = cut(effort.test_relevant(e))
     warm, cold = relevant.where("is_new_ground AND NOT is_cold_start"), relevant.where("is_cold_start")
     size = _size(e)
@@ -314,13 +314,17 @@ def als_metrics(spark, d):
     return out
 
 
-def als_tune(spark, d):
-    """The trials of two settings on the validation window. (serve's callers pass the whole grid.)"""
-    e = kept_events(spark, d)
+def _tuned(e):
+    """The best setting of als.GRID on the validation window, and all trials."""
     pairs, relevant = cut(effort.pair_hours(e, effort.VAL_START)), cut(effort.new_grounds(e, effort.VAL_START, effort.TEST_START))
     score = lambda rankings, rel: ranking.metrics(rankings, rel, _size(e), (10,)).first()["precision"]
-    best, trials = als.tune(pairs, relevant, score, [{"factors": 8, "iterations": 2, "alpha": a} for a in (10.0, 40.0)])
-    return spark.createDataFrame([(p["factors"], p["alpha"], v, p == best) for p, v in trials], "factors int, alpha double, precision double, best boolean")
+    return als.tune(pairs, relevant, score)
+
+
+def als_tune(spark, d):
+    """The trials of the whole grid on the validation window; als_metrics refits with the best."""
+    best, trials = _tuned(kept_events(spark, d))
+    return spark.createDataFrame([(p["factors"], p["regularization"], p["alpha"], v, p == best) for p, v in trials], "factors int, regularization double, alpha double, precision double, best boolean")
 
 
 def vessel_features(spark, d):
