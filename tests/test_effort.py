@@ -163,6 +163,13 @@ def test_tuning_tries_the_grid_and_its_best_is_refitted(spark, trained):
     assert trained[:6] == als.GRID and trained[6:] == [{k: best[k] for k in als.GRID[0]}]
 
 
+def test_models_are_measured_at_both_depths(spark, trained):
+    got = {(r["model"], r["protocol"], r["k"]): r["recall"] for r in plans.als_metrics(spark, "").collect()}
+    models = {("als", "warm"), ("als", "cold"), ("content", "warm"), ("content", "cold"), ("popularity_by_gear", "cold"), ("hybrid", "warm"), ("hybrid", "cold")}
+    assert got.keys() == {(*m, k) for m in models for k in (10, 50)}
+    assert all(got[*m, 50] > got[*m, 10] for m in (("als", "warm"), ("content", "warm"), ("hybrid", "warm")))
+
+
 def test_als_by_joins(spark, monkeypatch):
     """With nothing shipped the factors are joined to the pairs; users solved from given item factors agree."""
     rows, pairs = make_pairs(spark, 10, 6)
