@@ -1,7 +1,8 @@
 import math
 
+import pandas as pd
 import pytest
-from tidelog.operators.pmm import FIELDS, fill_missing, with_fills
+from tidelog.operators.pmm import FIELDS, _matcher, fill_missing, with_fills
 
 SCHEMA = "vessel_row_id long, mmsi string, year int, vessel_class_inferred string, vessel_class_registry string, vessel_class_gfw string, " + ", ".join(f"{m}_{s} double" for m in ("length_m", "engine_power_kw", "tonnage_gt") for s in ("inferred", "registry", "gfw"))
 
@@ -57,3 +58,11 @@ def test_nothing_to_copy(spark):
     got = fill_missing(df).collect()
     assert len(got) == 4 and all(r["donor_id"] is None for r in got)
     assert fill_missing(df.limit(0)).count() == 0
+
+
+def test_groups_that_end_with_their_batches_stay_apart():
+    """The last batches of a partition hold one group each."""
+    batch = lambda field, key, first: pd.DataFrame({"field": field, "key": key, "pred": [10.0, 11.0, 10.6], "id": [first, first + 1, first + 2], "gap": [False, False, True]})
+    batches = [batch("length_m_gfw", "v:1", 0), batch("length_m_gfw", "v:2", 10), batch("tonnage_gt_gfw", "v:2", 20)]
+    got = pd.concat(_matcher(5, [])(iter(batches)))
+    assert sorted(zip(got["field"], got["id"], got["donor_id"], got["donor_group"])) == [("length_m_gfw", 2, 1, "v:1"), ("length_m_gfw", 12, 11, "v:2"), ("tonnage_gt_gfw", 22, 21, "v:2")]

@@ -192,9 +192,9 @@ def _matcher(draws: int, edges: list[tuple[str, str, float, int]]):
                 if (r := group(field, key, g)) is not None:
                     yield r
         if held:
-            f = pd.concat(held, ignore_index=True)
-            if (r := group(f["field"].iat[0], f["key"].iat[0], f)) is not None:
-                yield r
+            for (field, key), g in pd.concat(held, ignore_index=True).groupby(["field", "key"], sort=False):  # batches of one group each may hold several
+                if (r := group(field, key, g)) is not None:
+                    yield r
 
     return match
 
