@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 from pyspark.sql import functions as F
 from tidelog.llm import distinct as D
@@ -39,3 +41,14 @@ def test_nulls_and_empty(spark):
     assert D.counted(D.registers(df.limit(0), ["g"], "value"), ["g"]).count() == 0
     e = spark.createDataFrame([(None, None, None, None, None, "x")], "date date, mmsi string, cell_id string, cell_ll_lat double, cell_ll_lon double, level string")
     assert D.distinct_counts(e).count() == 0
+
+
+def test_every_part_is_stored(spark, monkeypatch):
+    from tidelog.llm import queries
+
+    rows = [(dt.date(2024, 1, k), f"28000000{k}", f"{k}.0_2.0", float(k), 2.0) for k in (1, 2)]
+    e = spark.createDataFrame(rows, "date date, mmsi string, cell_id string, cell_ll_lat double, cell_ll_lon double")
+    monkeypatch.setattr(queries, "_events", lambda spark, d: e)
+    got = {(r["level"], r["key"], r["what"]) for r in queries.p5_sketches(spark, "").collect()}
+    assert got == {tuple(r) for r in D.grouped_events(e).select("level", "key", "what").distinct().collect()}
+    assert {level for level, _, _ in got} == {"date", "vessel_group_month", "cell_group"}

@@ -29,10 +29,9 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """The mergeable part of each month and vessel group."""
+    """The mergeable part of each date, vessel group and month, and cell group."""
     keys = ["level", "key", "what"]
-    e = distinct.grouped_events(_events(spark, d)).where(F.col("level") == "vessel_group_month")
-    return distinct.sketches(distinct.registers(e, keys, "value"), keys)
+    return distinct.sketches(distinct.registers(distinct.grouped_events(_events(spark, d)), keys, "value"), keys)
 
 
 def p5_within_bound(spark: SparkSession, d: str) -> DataFrame:
