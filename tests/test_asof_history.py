@@ -2,8 +2,9 @@ import datetime as dt
 import random
 
 from pyspark.sql import functions as F
+from tidelog.operators import history as history_module
 from tidelog.operators.asof import as_known, month_of, validity
-from tidelog.operators.history import history, recorded_states
+from tidelog.operators.history import append_snapshot, history, recorded_states, stored_history
 
 
 def day(n):
@@ -62,3 +63,27 @@ def test_history_is_brute_force(spark):
         want += [(who, a, b, *s) for a, b, s in runs]
     assert got == sorted(want)
     assert history(states.limit(0), ["kind", "flag"]).count() == 0
+
+
+def test_only_differing_leaves_are_read(spark, tmp_path):
+    names = [f"e{i}" for i in range(200)]
+    first = {n: ("x", 2020) for n in names}
+    second = {n: ("x", 2021) for n in names}  # recorded again, nothing changed
+    third = second | {"e3": ("y", 2022), "e7": (None, 2022), "new": ("x", 2022)}
+    path, read = str(tmp_path / "h"), []
+    for period, states in ((2020, first), (2021, second), (2022, third)):
+        df = spark.createDataFrame([(n, seen, kind) for n, (kind, seen) in states.items()], "entity string, seen int, kind string")
+        read.append(append_snapshot(spark, path, period, df, ["kind"], levels=3))
+    assert read[0] > 150 and read[1] == 0 and 1 <= read[2] <= 3
+    got = sorted((r["entity"], r["valid_from"], r["valid_to"], r["kind"] or "") for r in stored_history(spark, path, ["kind"]).collect())
+    want = [(n, 2020, 2021, "x") for n in names] + [("e3", 2022, 2022, "y"), ("e7", 2022, 2022, ""), ("new", 2022, 2022, "x")]
+    assert got == sorted(want)
+
+
+def test_history_depends_on_the_comparison(spark, monkeypatch):
+    rows = [(f"e{i}", y, "xy"[(i + y) % 3 == 0], "p") for i in range(30) for y in (2020, 2021, 2022)]
+    states = spark.createDataFrame(rows, "entity string, period int, kind string, flag string")
+    want = sorted(map(tuple, history_module.history(states, ["kind", "flag"]).collect()))
+    assert want == sorted(map(tuple, history_module.history(states, ["kind", "flag"], levels=1).collect()))
+    monkeypatch.setattr(history_module, "differing", lambda level, pairs, bits: level[-1].selectExpr("period", "node AS leaf").limit(0))
+    assert history_module.history(states, ["kind", "flag"]).count() == 0 < len(want)
