@@ -1,54 +1,98 @@
 import datetime as dt
+import random
 
 import numpy as np
-from pyspark.sql import functions as F
-from tidelog.llm import distinct as D
-
-
-def test_estimates_lie_within_the_bound(spark):
-    sizes = [1, 5, 80, 3_000, 40_000, 250_000]
-    df = None
-    for n in sizes:
-        part = spark.range(2 * n).select(F.lit(n).alias("size"), (F.col("id") % n + n * 7).cast("string").alias("value"))
-        df = part if df is None else df.unionByName(part)
-    got = {r["size"]: r for r in D.counted(D.registers(df, ["size"], "value"), ["size"]).collect()}
-    for n in sizes:
-        assert abs(got[n]["estimate"] - n) <= 4 * D.ERROR / 2 ** (D.P / 2) * n + 0.5
-
-
-def test_error_over_many_sketches(spark):
-    df = spark.range(200 * 5_000).select((F.col("id") % 200).alias("g"), F.col("id").cast("string").alias("value"))
-    e = np.array([r["estimate"] for r in D.counted(D.registers(df, ["g"], "value", 8), ["g"], 8).collect()]) / 5_000 - 1
-    assert abs(e.mean()) < 0.01 and 0.8 < e.std() / (D.ERROR / 16) < 1.2
-
-
-def test_parts_merge_without_loss(spark):
-    a, b = (spark.range(s, s + 3_000).select(F.lit(1).alias("g"), F.col("id").cast("string").alias("value")) for s in (0, 2_000))
-    whole = D.registers(a.unionByName(b), ["g"], "value")
-    parts = D.merged(D.registers(a, ["g"], "value").unionByName(D.registers(b, ["g"], "value")), ["g"])
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
-    pack = lambda x: bytes(D.sketches(x, ["g"]).first()["sketch"])
-    assert D.merge_packed(pack(D.registers(a, ["g"], "value")), pack(D.registers(b, ["g"], "value"))) == pack(whole)
-    codes = np.frombuffer(pack(whole), np.uint8)
-    assert abs(D.estimates([D.statistics(codes)], 1 << D.P)[0] - D.counted(whole, ["g"]).first()["estimate"]) < 1e-6
-    assert len(codes) == 1 << D.P
-
-
-def test_nulls_and_empty(spark):
-    df = spark.createDataFrame([(1, None), (1, "a"), (1, "a"), (2, None)], "g int, value string")
-    got = D.counted(D.registers(df, ["g"], "value"), ["g"]).collect()
-    assert [(r["g"], round(r["estimate"])) for r in got] == [(1, 1)]
-    assert D.counted(D.registers(df.limit(0), ["g"], "value"), ["g"]).count() == 0
-    e = spark.createDataFrame([(None, None, None, None, None, "x")], "date date, mmsi string, cell_id string, cell_ll_lat double, cell_ll_lon double, level string")
-    assert D.distinct_counts(e).count() == 0
-
-
-def test_every_part_is_stored(spark, monkeypatch):
-    from tidelog.llm import queries
-
-    rows = [(dt.date(2024, 1, k), f"28000000{k}", f"{k}.0_2.0", float(k), 2.0) for k in (1, 2)]
-    e = spark.createDataFrame(rows, "date date, mmsi string, cell_id string, cell_ll_lat double, cell_ll_lon double")
-    monkeypatch.setattr(queries, "_events", lambda spark, d: e)
-    got = {(r["level"], r["key"], r["what"]) for r in queries.p5_sketches(spark, "").collect()}
-    assert got == {tuple(r) for r in D.grouped_events(e).select("level", "key", "what").distinct().collect()}
-    assert {level for level, _, _ in got} == {"date", "vessel_group_month", "cell_group"}
+from tidelog.llm.distinct import ERROR, MERGES, P, counts_of, distinct_counts, estimates, event_groups, merge_sketches, merged, packed, registers_of, sketch_of, sketch_parts, statistics, tokens_of, unpacked
+
+
+def hashes(n, seed):
+    return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.int64) * 2 + np.random.default_rng(seed + 1).integers(0, 2, n)
+
+
+def plain_registers(h):
+    """Register by register, rank by rank, one hash at a time."""
+    ranks = {}
+    for x in h.view(np.uint64).tolist():
+        rest, r = x >> P, 1
+        while r < 53 and not rest & 1:
+            rest, r = rest >> 1, r + 1
+        ranks.setdefault(x & ((1 << P) - 1), set()).add(r)
+    out = np.zeros(1 << P, np.uint8)
+    for k, s in ranks.items():
+        top = max(s)
+        out[k] = 4 * top + 2 * (top - 1 in s) + (top - 2 in s)
+    return out
+
+
+def test_registers_follow_from_tokens():
+    for n in (0, 1, 300, 20_000):
+        h = hashes(n, n)
+        assert (registers_of(np.unique(tokens_of(h))) == plain_registers(h)).all()
+
+
+def test_merging_is_lossless_in_any_order():
+    parts = [hashes(n, 50 + n) for n in (0, 3, 700, 900, 5_000, 40_000)]
+    whole = sketch_of(np.unique(tokens_of(np.concatenate(parts))))
+    rng = random.Random(1)
+    for _ in range(5):
+        rng.shuffle(parts)
+        s = b""
+        for h in parts:
+            s = merge_sketches(s, sketch_of(np.unique(tokens_of(h))))
+        assert s == whole
+    assert merge_sketches(whole, whole) == whole and len(whole) == 1 << P
+
+
+def test_the_table_of_merges_is_union_of_ranks():
+    a, b = np.meshgrid(np.arange(0, 214), np.arange(0, 214))
+    possible = packed(unpacked(np.arange(214))) == np.arange(214)
+    ok = possible[a] & possible[b]
+    assert (unpacked(MERGES[a, b])[ok] == unpacked(packed(unpacked(a) | unpacked(b)))[ok]).all()
+
+
+def test_error_is_as_stated():
+    for n in (2_000, 50_000, 400_000):
+        got = np.array([estimates([statistics(registers_of(np.unique(tokens_of(hashes(n, 7 * i)))))], 1 << P)[0] for i in range(30)])
+        assert abs(got.mean() / n - 1) < 4 * ERROR / 2 ** (P / 2) / 30**0.5
+        assert got.std() / n < 1.5 * ERROR / 2 ** (P / 2)
+    assert estimates([statistics(np.zeros(1 << P, np.uint8))], 1 << P)[0] == 0.0
+
+
+def test_small_groups_are_exact():
+    for n in (0, 1, 17, 400, 1_000):
+        e, s = counts_of([sketch_of(np.unique(tokens_of(hashes(n, n))))])
+        assert abs(e[0] - n) < 0.1 and s[0] < 0.2
+
+
+def test_counts_of_events(spark):
+    rng = random.Random(2)
+    rows = [(dt.date(2023, rng.randint(1, 12), rng.randint(1, 28)) if rng.random() < 0.97 else None, f"28{rng.randint(0, 9)}{rng.randint(0, 900):06d}" if rng.random() < 0.97 else "x", f"c{rng.randint(0, 300)}" if rng.random() < 0.97 else None, rng.uniform(-30, 30) if rng.random() < 0.97 else None, float(rng.choice([-170, 5, 15])), "x") for _ in range(4_000)]
+    df = spark.createDataFrame([*rows, *rows[:500]], "date date, mmsi string, cell_id string, cell_ll_lat double, cell_ll_lon double, key string")
+    got = {(r["level"], r["key"], r["what"]): r["estimate"] for r in distinct_counts(df.repartition(7)).collect()}
+    want = {}
+    for day, mmsi, cell, lat, lon, _ in rows:
+        vessel = mmsi if mmsi != "x" else None
+        keys = []
+        if day:
+            keys += [("date", str(day)), ("month", str(day)[:7]), ("year", str(day)[:4]), ("all", "all")]
+            keys += [("vessel_group_month", f"{vessel[:3]}|{str(day)[:7]}"), ("vessel_group", vessel[:3])] if vessel else []
+        if lat is not None:
+            a, b = int(lat // 10 * 10), int(lon // 10 * 10)
+            keys += [("cell_group", f"{a}_{b}"), ("latitude_band", str(a))]
+        for k in keys:
+            for what, value in (("vessels", vessel), ("cells", cell)):
+                if value:
+                    want.setdefault((*k, what), set()).add(value)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] / len(v) - 1) <= 4 * ERROR / 2 ** (P / 2) for k, v in want.items())
+    assert distinct_counts(df.limit(0)).count() == 0
+
+
+def test_parts_of_days_make_the_whole(spark):
+    df = spark.range(0, 30_000).selectExpr("date_add(DATE'2023-01-01', CAST(id % 40 AS INT)) AS date", "CAST(280000000 + id * 7 % 9001 AS STRING) AS mmsi", "CAST(id % 777 AS STRING) AS cell_id", "1.0D AS cell_ll_lat", "2.0D AS cell_ll_lon")
+    groups, identifiers = event_groups()
+    one = sketch_parts(df.where("day(date) % 2 = 0"), groups, identifiers)
+    two = sketch_parts(df.where("day(date) % 2 = 1"), groups, identifiers)
+    again = {tuple(r[:3]): bytes(r[3]) for r in merged(one.unionByName(two)).collect()}
+    whole = {tuple(r[:3]): bytes(r[3]) for r in merged(sketch_parts(df, groups, identifiers)).collect()}
+    assert again == whole and len(whole) > 80

@@ -1,76 +1,105 @@
 """Distinct counts from mergeable sketches.
 
-A sketch has 2^p registers. An identifier's hash picks a register and a rank (k with probability 2^-k); a register keeps
-its greatest rank and whether the two ranks below it occurred, in one byte. The count is the maximum-likelihood estimate
-under Poisson arrivals; its relative standard error is 0.761 / sqrt(2^p), 1.19 % for p = 12, against 1.62 % for registers
-of the greatest rank alone.
+A sketch has 2^P registers of one byte. An identifier's hash picks a register and a rank (k with probability 2^-k); a
+register keeps its greatest rank and whether the two ranks below it occurred. Two registers merge without loss by a table
+of 256 x 256 bytes. The count is the maximum-likelihood estimate under Poisson arrivals; its relative standard error is
+0.761 / sqrt(2^P), 1.19 % for P = 12, against 1.62 % for registers of the greatest rank alone.
 
-Before they are packed, registers are rows (group, register, set of ranks as bits): bit_or combines them map-side and
-merges any parts without loss, all inside the JVM. A hot group is at most 2^p rows once combined.
+As long as that takes less room, a sketch is a sorted list of tokens of 32 bits instead: 26 bits of the hash and the rank
+of the rest, from which registers follow exactly. Groups of up to a thousand identifiers are thus counted all but exactly.
+
+Each map task builds the sketches of its rows (in numpy, from hashes made in the JVM), so what is shuffled is a part per
+group and task, of at most 2^P bytes. Parts are merged as they stream by, sorted by group, holding one sketch at a time,
+first within every MERGED_TASKS map tasks, then in all: a hot group is neither collected nor left to one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tidelog.functions.values import vessel_of
 
 P = 12
+TOKEN_BITS = 26
 #: Relative standard error of an estimate is ERROR / sqrt(registers).
 ERROR = 0.761
+#: Tokens that a map task holds before it lets its parts go, and map tasks whose parts meet first.
+HELD, MERGED_TASKS = 4_000_000, 64
 
 
-def registers(df: DataFrame, keys: list[str], identifier: str, p: int = P) -> DataFrame:
-    """keys, register, ranks (bit k - 1: rank k occurred). Null identifiers do not count; null keys are a group of their own."""
-    h = F.xxhash64(F.col(identifier))
-    rest = F.shiftrightunsigned(h, p)
-    rank = F.when(rest == 0, F.lit(1 << (64 - p))).otherwise(rest.bitwiseAND(-rest))
-    rows = df.where(F.col(identifier).isNotNull()).select(*keys, h.bitwiseAND(F.lit((1 << p) - 1)).cast("int").alias("register"), rank.alias("ranks"))
-    return merged(rows, keys)
+def packed(ranks: np.ndarray) -> np.ndarray:
+    """The register byte of a set of ranks (bit k - 1: rank k occurred): 4 * greatest rank + 2 * (rank below occurred) + (rank two below occurred); 0: empty."""
+    top = np.frexp(ranks.astype(np.float64))[1].astype(np.int64)  # exact: at most 53 bits
+    low = lambda n: np.where(top > n, (ranks >> np.maximum(top - 1 - n, 0)) & 1, 0)
+    return (4 * top + 2 * low(1) + low(2)).astype(np.uint8)
 
 
-def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Registers of the groups that the keys name, from the registers of finer groups or of other parts."""
-    return parts.groupBy(*keys, "register").agg(F.bit_or("ranks").alias("ranks"))
+def unpacked(registers: np.ndarray) -> np.ndarray:
+    """The set of ranks that a register byte stands for."""
+    top, bits = registers.astype(np.int64) >> 2, registers.astype(np.int64) & 3
+    three = 4 | bits
+    return np.where(top == 0, 0, np.where(top >= 3, three << np.maximum(top - 3, 0), three >> np.maximum(3 - top, 0)))
 
 
-def packed_registers(register: np.ndarray, ranks: np.ndarray, p: int) -> np.ndarray:
-    """A byte per register: 4 * greatest rank + 2 * (rank below occurred) + (rank two below occurred); 0: empty."""
-    top = np.frexp(ranks.astype(np.float64))[1]  # exact: at most 53 bits
-    low = lambda n: np.where(top > n, (ranks >> np.maximum(top - 1 - n, 0)) & 1, 0)
+def _merges() -> np.ndarray:
+    """The byte of the union of two registers, by both bytes. Bytes that no register takes give what their ranks would."""
+    codes = np.arange(256)
+    ranks = unpacked(np.minimum(codes, 4 * 53 + 3))
+    return packed(ranks[:, None] | ranks[None, :])
+
+
+MERGES = _merges()
+
+
+def tokens_of(hashes: np.ndarray) -> np.ndarray:
+    """The tokens of hashes of 64 bits: the lower TOKEN_BITS and, above, the rank of the rest."""
+    h = hashes.view(np.uint64)
+    rest = h >> np.uint64(TOKEN_BITS)
+    lowest = rest & (~rest + np.uint64(1))
+    rank = np.where(rest == 0, 64 - TOKEN_BITS + 1, np.frexp(lowest.astype(np.float64))[1]).astype(np.uint64)
+    return ((h & np.uint64((1 << TOKEN_BITS) - 1)) | (rank << np.uint64(TOKEN_BITS))).astype(np.uint32)
+
+
+def registers_of(tokens: np.ndarray, p: int = P) -> np.ndarray:
+    """The register bytes of tokens."""
+    t = tokens.astype(np.int64)
+    middle = (t >> p) & ((1 << (TOKEN_BITS - p)) - 1)
+    rank = np.where(middle == 0, TOKEN_BITS - p + (t >> TOKEN_BITS), np.frexp((middle & -middle).astype(np.float64))[1])
+    order = np.argsort(at := t & ((1 << p) - 1), kind="stable")
+    at, ranks = at[order], (np.int64(1) << (np.minimum(rank, 53) - 1))[order]
     out = np.zeros(1 << p, np.uint8)
-    out[register] = 4 * top + 2 * low(1) + low(2)
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[first]] = packed(np.bitwise_or.reduceat(ranks, first))
     return out
 
 
-def unpacked_ranks(registers: np.ndarray) -> np.ndarray:
-    top, bits = registers.astype(np.int64) >> 2, registers.astype(np.int64) & 3
-    three = 4 | bits
-    return np.where(top == 0, 0, np.where(top >= 3, three << np.maximum(top - 3, 0), three >> np.maximum(3 - top, 0)))
+def sketch_of(tokens: np.ndarray, p: int = P) -> bytes:
+    """The sketch of sorted different tokens: themselves if they take less room than registers."""
+    return tokens.tobytes() if 4 * len(tokens) < 1 << p else registers_of(tokens, p).tobytes()
 
 
-def merge_packed(a: bytes, b: bytes) -> bytes:
-    """The packed sketch of the union of two packed sketches of equal p."""
-    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
-    both = unpacked_ranks(x) | unpacked_ranks(y)
-    at = np.flatnonzero(both)
-    return packed_registers(at, both[at], int(np.log2(len(x)))).tobytes()
+def merge_sketches(a: bytes, b: bytes, p: int = P) -> bytes:
+    """The sketch of the union of two sketches; it is the same as if one sketch had seen all identifiers."""
+    if len(a) < 1 << p and len(b) < 1 << p:
+        return sketch_of(np.union1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)), p)
+    x, y = (np.frombuffer(s, np.uint8) if len(s) == 1 << p else registers_of(np.frombuffer(s, np.uint32), p) for s in (a, b))
+    return MERGES[x, y].tobytes()
 
 
-def statistics(codes: np.ndarray, times: np.ndarray | None = None) -> tuple[float, np.ndarray]:
-    """What the likelihood depends on: the probability of all that did not occur, and how often each rank did. codes: register bytes, `times` each."""
-    times = np.ones(len(codes)) if times is None else times
+def statistics(codes: np.ndarray) -> tuple[float, np.ndarray]:
+    """What the likelihood depends on: the probability of all that did not occur, and how often each rank did. codes: the register bytes."""
     top, bits = codes.astype(np.int64) >> 2, codes & 3
-    absent = (times * 2.0**-top).sum()  # an empty register misses the whole probability, 1
-    seen = np.bincount(top, times * (top > 0), minlength=66)
+    absent = (2.0**-top).sum()  # an empty register misses the whole probability, 1
+    seen = np.bincount(top, top > 0, minlength=66)
     for n, bit in ((1, 2), (2, 1)):
         there = (top > n) & ((bits & bit) > 0)
-        absent += (times * 2.0 ** (n - top))[(top > n) & ~there].sum()
-        seen += np.bincount(np.maximum(top - n, 0), times * there, minlength=66)
+        absent += (2.0 ** (n - top))[(top > n) & ~there].sum()
+        seen += np.bincount(np.maximum(top - n, 0), there, minlength=66)
     return float(absent), seen
 
 
@@ -89,79 +118,174 @@ def estimates(stats: list[tuple[float, np.ndarray]], m: int) -> np.ndarray:
     return np.where(seen.sum(axis=1) == 0, 0.0, m * np.exp((low + high) / 2))
 
 
-def register_code() -> Column:
-    """The byte of a register: see packed_registers."""
-    top = F.length(F.bin("ranks"))
-    below = lambda n: F.when(top > n, F.expr(f"shiftright(ranks, length(bin(ranks)) - {n + 1}) & 1")).otherwise(F.lit(0))
-    return (top * 4 + below(1) * 2 + below(2)).cast("int")
-
-
-def counted(parts: DataFrame, keys: list[str], p: int = P) -> DataFrame:
-    """keys, estimate, standard_error of each group of registers.
-
-    The likelihood needs only how often each register byte occurs, which is counted map-side: at most 256 rows a group move."""
-    listed = parts.groupBy(*keys, register_code().alias("code")).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.collect_list("code").alias("_c"), F.collect_list("n").alias("_n"))
-    schema = listed.drop("_c", "_n").schema.add("estimate", "double").add("standard_error", "double")
-    m = 1 << p
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            stats = []
-            for c, n in zip(f["_c"], f["_n"], strict=True):
-                c, n = np.append(np.asarray(c, np.int64), 0), np.append(np.asarray(n, float), m - np.sum(n))  # the rest are empty
-                stats.append(statistics(c, n))
-            e = estimates(stats, m)
-            yield f.drop(columns=["_c", "_n"]).assign(estimate=e, standard_error=e * ERROR / np.sqrt(m))
-
-    return listed.mapInPandas(solve, schema)
+def counts_of(sketches: list[bytes], p: int = P) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and their standard errors. Of tokens the estimate is their number, made up for the few that fell together."""
+    out, error = np.zeros(len(sketches)), np.zeros(len(sketches))
+    full = [i for i, s in enumerate(sketches) if len(s) == 1 << p]
+    for i, s in enumerate(sketches):
+        if len(s) < 1 << p:
+            n = len(s) // 4
+            out[i] = -np.log1p(-n / 2.0**TOKEN_BITS) * 2.0**TOKEN_BITS
+            error[i] = n / 2.0 ** (TOKEN_BITS / 2)
+    if full:
+        out[full] = estimates([statistics(np.frombuffer(sketches[i], np.uint8)) for i in full], 1 << p)
+        error[full] = out[full] * ERROR / 2.0 ** (p / 2)
+    return out, error
+
+
+KEYS = ["level", "code", "what"]
+
+
+def sketch_parts(df: DataFrame, groups: dict[str, Column], identifiers: dict[str, Column], p: int = P) -> DataFrame:
+    """level, code, what, sketch: for each task the sketches of its rows, per level (a whole number codes the group) and kind of identifier.
+
+    Null codes and identifiers do not count. No more than HELD tokens are held at once."""
+    levels, kinds = list(groups), list(identifiers)
+    hashed = df.select(*(c.cast("long").alias(f"g{i}") for i, c in enumerate(groups.values())), *(F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h{i}") for i, c in enumerate(identifiers.values())))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        n = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            good = [~b.column(i).is_null().to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            number = [b.column(i).fill_null(0).to_numpy() for i in range(b.num_columns)]
+            tokens = [tokens_of(np.ascontiguousarray(h)) for h in number[len(levels) :]]
+            for g in range(len(levels)):
+                for k in range(len(kinds)):
+                    ok = good[g] & good[len(levels) + k]
+                    if ok.any():
+                        pair = _unique(number[g][ok], tokens[k][ok])
+                        held.setdefault((g, k), []).append(pair)
+                        n += len(pair[0])
+            if n > HELD:
+                yield from _emitted(held, levels, kinds, p)
+                held, n = {}, 0
+        yield from _emitted(held, levels, kinds, p)
+
+    return hashed.mapInArrow(build, "level string, code long, what string, sketch binary")
+
+
+def _unique(code: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((token, code))
+    code, token = code[order], token[order]
+    new = np.concatenate([[True], (code[1:] != code[:-1]) | (token[1:] != token[:-1])])
+    return code[new], token[new]
+
+
+def _emitted(held: dict, levels: list[str], kinds: list[str], p: int) -> Iterator[pa.RecordBatch]:
+    for (g, k), pairs in held.items():
+        code, token = _unique(np.concatenate([c for c, _ in pairs]), np.concatenate([t for _, t in pairs]))
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        ends = np.append(starts[1:], len(code))
+        for at in range(0, len(starts), 1_000):
+            part = slice(at, at + 1_000)
+            made = [sketch_of(token[i:j], p) for i, j in zip(starts[part], ends[part], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([levels[g]] * len(made)), pa.array(code[starts[part]]), pa.array([kinds[k]] * len(made)), pa.array(made, pa.binary())], names=[*KEYS, "sketch"])
+
+
+def merged(parts: DataFrame, p: int = P) -> DataFrame:
+    """One sketch per level, code and what, from any number of parts of each."""
+    salt = F.floor(F.spark_partition_id() / MERGED_TASKS)
+    some = _streamed(parts.withColumn("_salt", salt), [*KEYS, "_salt"], p)
+    return _streamed(some, KEYS, p)
+
+
+def _streamed(parts: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Parts of equal keys follow each other; one sketch is held at a time."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sketch, out = None, b"", []
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in out], t) for i, t in ((0, pa.string()), (1, pa.int64()), (2, pa.string()), (3, pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=[*KEYS, "sketch"])
+
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in (*keys, "sketch")), strict=True)
+            for *key, s in rows:
+                if key == last:
+                    sketch = merge_sketches(sketch, s, p)
+                else:
+                    if last is not None:
+                        out.append((*last[:3], sketch))
+                    last, sketch = key, s
+            if len(out) > 2_000:
+                yield flushed()
+                out = []
+        if last is not None:
+            out.append((*last[:3], sketch))
+        yield flushed()
+
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, "level string, code long, what string, sketch binary")
+
+
+def counted(sketches: DataFrame, p: int = P) -> DataFrame:
+    """The columns of sketches but the sketch, with estimate and standard_error."""
+    kept = [c for c in sketches.columns if c != "sketch"]
+    schema = sketches.select(*kept).schema.add("estimate", "double").add("standard_error", "double")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e, s = counts_of(b.column("sketch").to_pylist(), p)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(e), pa.array(s)], names=[*kept, "estimate", "standard_error"])
+
+    return sketches.mapInArrow(solve, schema)
 
 
-def sketches(parts: DataFrame, keys: list[str], p: int = P) -> DataFrame:
-    """keys and the packed sketch, 2^p bytes, of each group of registers: the part to store and to merge later."""
-    listed = parts.groupBy(*keys).agg(F.collect_list("register").alias("_r"), F.collect_list("ranks").alias("_k"))
-    schema = listed.drop("_r", "_k").schema.add("sketch", "binary")
+def vessel_group(vessel: Column) -> Column:
+    """The country digits of a vessel number."""
+    return F.substring(vessel, 1, 3)
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.drop(columns=["_r", "_k"]).assign(sketch=[packed_registers(np.asarray(r, np.int64), np.asarray(k, np.int64), p).tobytes() for r, k in zip(f["_r"], f["_k"], strict=True)])
 
-    return listed.mapInPandas(pack, schema)
+def _months(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day) - 1
 
 
-def vessel_group(vessel: Column) -> Column:
-    """The country digits of a vessel number."""
-    return F.substring(vessel, 1, 3)
+def event_groups() -> tuple[dict[str, Column], dict[str, Column]]:
+    """The groups of events (date, mmsi, cell_id, cell_ll_lat, cell_ll_lon), coded as whole numbers, and the identifiers that are counted."""
+    vessel, day = vessel_of(F.col("mmsi")), F.col("date")
+    block = lambda c, wide: F.floor(F.when(~F.isnan(c), F.col(c)) / 10.0) + wide
+    groups = {
+        "date": F.unix_date(day),
+        "vessel_group_month": vessel_group(vessel).cast("long") * 1_000_000 + _months(day),
+        "cell_group": block("cell_ll_lat", 1_000) * 100_000 + block("cell_ll_lon", 1_000),
+    }
+    return groups, {"vessels": vessel, "cells": F.col("cell_id")}
 
 
-def cell_group(lat: Column, lon: Column) -> Column:
-    """The block of ten degrees that a cell lies in."""
-    return F.concat_ws("_", *((F.floor(x / 10.0) * 10).cast("int").cast("string") for x in (lat, lon)))
+def unions(sketches: DataFrame, p: int = P) -> DataFrame:
+    """The sketches of unions: month, year and all of dates; vessel group of its months; latitude band of cell groups."""
+    part = lambda level, code: F.struct(F.lit(level).alias("level"), code.cast("long").alias("code"))
+    code, day = F.col("code"), F.date_from_unix_date(F.col("code").cast("int"))
+    ups = F.when(F.col("level") == "date", F.array(part("month", _months(day)), part("year", F.year(day)), part("all", F.lit(0))))
+    ups = ups.when(F.col("level") == "vessel_group_month", F.array(part("vessel_group", F.floor(code / 1_000_000))))
+    ups = ups.when(F.col("level") == "cell_group", F.array(part("latitude_band", F.floor(code / 100_000))))
+    return merged(sketches.select(F.explode(ups).alias("u"), "what", "sketch").select("u.*", "what", "sketch"), p)
 
 
-def grouped_events(df: DataFrame) -> DataFrame:
-    """level, key, what (vessels or cells), value: an event under its date, its vessel group and month, and its cell group."""
-    vessel = vessel_of(F.col("mmsi"))
-    month = F.date_format("date", "yyyy-MM")
-    groups = [("date", F.col("date").cast("string")), ("vessel_group_month", F.concat(vessel_group(vessel), F.lit("|"), month)), ("cell_group", cell_group(F.col("cell_ll_lat"), F.col("cell_ll_lon")))]
-    each = F.array(*(F.struct(F.lit(level).alias("level"), key.alias("key")) for level, key in groups))
-    two = F.array(F.struct(F.lit("vessels").alias("what"), F.col("vessel").alias("value")), F.struct(F.lit("cells").alias("what"), F.col("cell_id").alias("value")))
-    return df.select(vessel.alias("vessel"), "cell_id", F.explode(each).alias("g")).select("g.*", F.explode(two).alias("v")).where(F.col("key").isNotNull()).select("level", "key", "v.*")
+def named(df: DataFrame) -> DataFrame:
+    """level, key and the rest: the code of a group in words."""
+    code = F.col("code")
+    text = lambda x: x.cast("int").cast("string")
+    month = lambda m: F.format_string("%04d-%02d", F.floor(m / 12), m % 12 + 1)
+    tens = lambda x: text((x - 1_000) * 10)
+    key = F.when(F.col("level") == "date", F.date_from_unix_date(code.cast("int")).cast("string")).when(F.col("level") == "month", month(code)).when(F.col("level") == "year", text(code)).when(F.col("level") == "all", "all")
+    key = key.when(F.col("level") == "vessel_group_month", F.concat(F.lpad(text(F.floor(code / 1_000_000)), 3, "0"), F.lit("|"), month(code % 1_000_000))).when(F.col("level") == "vessel_group", F.lpad(text(code), 3, "0"))
+    key = key.when(F.col("level") == "cell_group", F.concat_ws("_", tens(F.floor(code / 100_000)), tens(code % 100_000))).when(F.col("level") == "latitude_band", tens(code))
+    return df.select("level", key.alias("key"), *(c for c in df.columns if c not in ("level", "code")))
 
 
-def unions(parts: DataFrame) -> DataFrame:
-    """The registers of unions: month, year and all of dates, vessel group of vessel groups and months."""
-    part = lambda level, key: F.struct(F.lit(level).alias("level"), key.alias("key"))
-    key = F.col("key")
-    ups = F.when(F.col("level") == "date", F.array(part("month", F.substring(key, 1, 7)), part("year", F.substring(key, 1, 4)), part("all", F.lit("all"))))
-    ups = ups.when(F.col("level") == "vessel_group_month", F.array(part("vessel_group", F.substring_index(key, "|", 1))))
-    return merged(parts.select(F.explode(ups).alias("u"), "what", "register", "ranks").select("u.*", "what", "register", "ranks"), ["level", "key", "what"])
+def group_sketches(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, p: int = P) -> DataFrame:
+    """level, code, what, sketch of every date, vessel group and month, cell group, and of their unions. keep: stores the sketches of the groups, of which the unions are made."""
+    base = keep(merged(sketch_parts(df, *event_groups(), p), p))
+    return base.unionByName(unions(base, p))
 
 
-def distinct_counts(df: DataFrame, p: int = P) -> DataFrame:
+def distinct_counts(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, p: int = P) -> DataFrame:
     """level, key, what, estimate, standard_error of every date, month, year, group and their unions.
 
     Vessels that cannot be read and null cells are not counted; events without a date or place are left out of the groups
-    that need it. No events, no rows."""
-    keys = ["level", "key", "what"]
-    parts = registers(grouped_events(df), keys, "value", p)
-    return counted(parts, keys, p).unionByName(counted(unions(parts), keys, p))
+    that need it. Repeated events count once. No events, no rows. Other columns are not read."""
+    return named(counted(group_sketches(df, keep, p), p))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tidelog.functions.values import vessel_of
 from tidelog.llm import distinct, language, leaks, survivor, tokens
 from tidelog.plans.training import _VESSEL, _number, _plain
-from tidelog.session import table
+from tidelog.session import cut, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,22 +24,29 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """Vessels and cells per date, month, year, group and union of groups, with their standard error."""
-    return distinct.distinct_counts(_events(spark, d))
+    return distinct.distinct_counts(_events(spark, d), cut)
 
 
 def p5_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """The mergeable part of each date, vessel group and month, and cell group."""
-    keys = ["level", "key", "what"]
-    return distinct.sketches(distinct.registers(distinct.grouped_events(_events(spark, d)), keys, "value"), keys)
+    """The mergeable part of each date, vessel group and month, cell group, and union."""
+    return distinct.named(distinct.group_sketches(_events(spark, d), cut))
 
 
 def p5_within_bound(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each estimate lies within five standard errors (and one) of the exact count."""
-    exact = distinct.grouped_events(_events(spark, d)).where(F.col("value").isNotNull())
-    month = exact.where(F.col("level") == "date").withColumns({"level": F.lit("month"), "key": F.substring("key", 1, 7)})
-    exact = exact.where(F.col("level") != "date").unionByName(month).distinct().groupBy("level", "key", "what").agg(F.count(F.lit(1)).alias("n"))
-    both = exact.join(distinct.distinct_counts(_events(spark, d)), ["level", "key", "what"])
-    return both.select("level", "key", "what", "n", (F.abs(F.col("estimate") - F.col("n")) <= 5 * F.lit(distinct.ERROR / 2 ** (distinct.P / 2)) * F.col("n") + 1).alias("within"))
+    """Every exact count, and whether its estimate lies within four standard errors of it."""
+    groups, identifiers = distinct.event_groups()
+    each = F.array(*(F.struct(F.lit(level).alias("level"), code.cast("long").alias("code")) for level, code in groups.items()))
+    two = F.array(*(F.struct(F.lit(what).alias("what"), value.alias("value")) for what, value in identifiers.items()))
+    seen = _events(spark, d).select(F.explode(each).alias("g"), two.alias("t")).select("g.*", F.explode("t").alias("v")).select("level", "code", "v.*").where(F.col("code").isNotNull() & F.col("value").isNotNull()).distinct()
+    day = F.date_from_unix_date(F.col("code").cast("int"))
+    up = lambda level, code: F.struct(F.lit(level).alias("level"), code.cast("long").alias("code"))
+    own = F.struct("level", "code")
+    all_ = F.when(F.col("level") == "date", F.array(own, up("month", F.year(day) * 12 + F.month(day) - 1), up("year", F.year(day)), up("all", F.lit(0))))
+    all_ = all_.when(F.col("level") == "cell_group", F.array(own, up("latitude_band", F.floor(F.col("code") / 100_000)))).otherwise(F.array(own, up("vessel_group", F.floor(F.col("code") / 1_000_000))))
+    exact = distinct.named(seen.select(F.explode(all_).alias("u"), "what", "value").select("u.*", "what", "value").distinct().groupBy("level", "code", "what").agg(F.count(F.lit(1)).alias("n")))
+    both = exact.join(p5_counts(spark, d), ["level", "key", "what"], "full")
+    near = F.abs(F.col("estimate") - F.col("n")) <= 4 * F.lit(distinct.ERROR / 2 ** (distinct.P / 2)) * F.col("n")
+    return both.select("level", "key", "what", "n", F.coalesce(near, F.lit(False)).alias("within"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -82,12 +88,22 @@ _FIELDS = {
     "length_m_gfw": _number("length_m_gfw", 0, 130),
 }
 _GROUPS = f"v AS (SELECT {_VESSEL} AS vessel, * FROM vessels), g AS (SELECT vessel, year FROM v WHERE vessel IS NOT NULL AND year IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"
-_BLOCK = "concat(CAST(CAST(floor(cell_ll_lat / 10) * 10 AS INTEGER) AS VARCHAR), '_', CAST(CAST(floor(cell_ll_lon / 10) * 10 AS INTEGER) AS VARCHAR))"
+_LEVELS = [
+    *(("date", "CAST(date AS VARCHAR)", "i"), ("month", "ym", "i"), ("year", "CAST(year(date) AS VARCHAR)", "i"), ("all", "CASE WHEN date IS NOT NULL THEN 'all' END", "i")),
+    *(("vessel_group_month", "substr(vessel, 1, 3) || '|' || ym", "v"), ("vessel_group", "CASE WHEN date IS NOT NULL THEN substr(vessel, 1, 3) END", "v")),
+    *(("cell_group", "a || '_' || b", "i"), ("latitude_band", "CASE WHEN b IS NOT NULL THEN a END", "i")),
+]
+
+
+def _tens(c: str) -> str:
+    return f"CAST(CAST(floor({c} / 10) * 10 AS INTEGER) AS VARCHAR)"
+
 
 SQL = {
     "p3_found": f"WITH {_GROUPS} "
     + " UNION ALL ".join(f"SELECT vessel AS mmsi, year, '{f}' AS field, arg_max(vessel_row_id, (known_on, -vessel_row_id)) AS vessel_row_id FROM v JOIN g USING (vessel, year) WHERE ({rule}) IS NOT NULL GROUP BY ALL" for f, rule in _FIELDS.items()),
-    "p5_within_bound": f"""WITH i AS (SELECT {_VESSEL} AS vessel, * FROM interactions),
-e AS (SELECT 'month' AS level, strftime(date, '%Y-%m') AS key, vessel, cell_id FROM i UNION ALL SELECT 'vessel_group_month', substr(vessel, 1, 3) || '|' || strftime(date, '%Y-%m'), vessel, cell_id FROM i WHERE vessel IS NOT NULL UNION ALL SELECT 'cell_group', {_BLOCK}, vessel, cell_id FROM i)
-SELECT level, key, 'vessels' AS what, count(DISTINCT vessel) AS n, true AS within FROM e GROUP BY ALL HAVING n > 0 UNION ALL SELECT level, key, 'cells', count(DISTINCT cell_id), true FROM e GROUP BY ALL HAVING count(DISTINCT cell_id) > 0""",
+    "p5_within_bound": f"""WITH i AS (SELECT {_VESSEL} AS vessel, *, strftime(date, '%Y-%m') AS ym, {_tens('cell_ll_lat')} AS a, {_tens('cell_ll_lon')} AS b FROM interactions),
+v AS (SELECT * FROM i WHERE vessel IS NOT NULL),
+e AS ({" UNION ALL ".join(f"SELECT '{level}' AS level, {key} AS key, vessel, cell_id FROM {source}" for level, key, source in _LEVELS)})
+SELECT level, key, what, count(DISTINCT x) AS n, true AS within FROM (SELECT level, key, 'vessels' AS what, vessel AS x FROM e UNION ALL SELECT level, key, 'cells', cell_id FROM e) WHERE x IS NOT NULL AND key IS NOT NULL GROUP BY ALL""",
 }
