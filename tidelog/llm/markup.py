@@ -6,12 +6,15 @@ import html
 import re
 
 COMMENT = re.compile(r"<!--.*?-->", re.S)
-#: Tags within a word leave no gap; all others part words.
+#: Tags within a word leave no gap; all others part words, and so do comments.
 INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|small|big|sub|sup|span|font|nowiki|code|tt|del|ins|mark|abbr)\b[^<>]*>", re.I)
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 OUTER = re.compile(r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]+[ \t]*([^\[\]]*)\]|\[(?:https?|ftp|mailto):[^\s\[\]]+[ \t]*([^\[\]]*)\]", re.I)
-ATTRIBUTE = re.compile(r"""\b[\w-]+[ ]?=[ ]?(?:"[^"\n]*"|'[^'\n]*')""")
+ATTRIBUTE = r"""[\w-]+[ ]?=[ ]?(?:"[^"\n]*"|'[^'\n]*')"""
+#: Attributes of a table or row take its whole line, those of a cell stand before a single bar; what looks like them in a template is text.
+TABLE_LINE = re.compile(rf"^([ \t:]*(?:\{{\||\|-))((?:[ \t]*{ATTRIBUTE})+)", re.M)
+CELL = re.compile(rf"(^[ \t]*[|!]|\|\||!!)((?:[ \t]*{ATTRIBUTE})+)[ \t]*\|(?!\|)", re.M)
 QUOTES = re.compile(r"'{2,}")
 HIDDEN = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿]")
 
@@ -20,7 +23,7 @@ def plain(text: str) -> str:
     """The text as shown, with words of templates and tables: links as their shown words, no comments, tags, attributes, bold or italic marks, entities resolved."""
     if "<" in text:
         if "<!--" in text:
-            text = COMMENT.sub("", text)
+            text = COMMENT.sub(" ", text)
         text = TAG.sub(" ", INLINE.sub("", text))
     if "[" in text:
         while True:  # links may hold links, as in captions
@@ -32,7 +35,7 @@ def plain(text: str) -> str:
     if "''" in text:
         text = QUOTES.sub("", text)
     if "=" in text and ('"' in text or "'" in text):
-        text = ATTRIBUTE.sub(" ", text)
+        text = CELL.sub(r"\1 ", TABLE_LINE.sub(r"\1 ", text))
     if "&" in text:
         text = html.unescape(text)
     return HIDDEN.sub("", text)

@@ -55,10 +55,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with at least twelve consecutive words of an item."""
-    return p9_leaks(spark, d).select("doc_id", "item_id")
+    return p9_leaks(spark, d).where(F.col("longest") >= leaks.LEAST).select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least twelve consecutive words of an item, or with four fifths of its words in passages of five or more, in any order."""
     return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
 
 
