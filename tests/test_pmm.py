@@ -2,7 +2,7 @@ import math
 
 import pandas as pd
 import pytest
-from tidelog.operators.pmm import FIELDS, _matcher, fill_missing, with_fills
+from tidelog.operators.pmm import FIELDS, _candidates, _matcher, checked_fills, fill_missing, with_fills
 
 SCHEMA = "vessel_row_id long, mmsi string, year int, vessel_class_inferred string, vessel_class_registry string, vessel_class_gfw string, " + ", ".join(f"{m}_{s} double" for m in ("length_m", "engine_power_kw", "tonnage_gt") for s in ("inferred", "registry", "gfw"))
 
@@ -60,9 +60,40 @@ def test_nothing_to_copy(spark):
     assert fill_missing(df.limit(0)).count() == 0
 
 
+def plain_match(rows, draws, fewest):
+    """Each gap against every donor of its narrowest group."""
+    out = {}
+    donors = {}
+    for r in rows:
+        if r["value"] is not None:
+            for key in (f"v:{r['vessel']}" if r["vessel"] else None, f"k:{r['kind']}", "*"):
+                donors.setdefault((r["field"], key), []).append((r["pred"], r["id"], r["value"]))
+    for r in rows:
+        if r["value"] is None:
+            ladder = [(f"v:{r['vessel']}", 1)] if r["vessel"] else []
+            key = next(k for k, n in [*ladder, (f"k:{r['kind']}", fewest), ("*", 1)] if len(donors.get((r["field"], k), ())) >= n)
+            near = sorted(donors[r["field"], key], key=lambda d: (abs(d[0] - r["pred"]), d[1]))[: 1 if key[0] == "v" else draws]
+            chosen = near[((r["id"] * 0x9E3779B97F4A7C15) % 2**64 >> 33) % len(near)]
+            out[FIELDS[r["field"]], r["id"]] = (key, round(abs(chosen[0] - r["pred"]), 9))
+    return out
+
+
+def test_donors_are_the_nearest_whatever_the_batches(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/vessels.parquet").cache()
+    want = plain_match(_candidates(df, "vessel_row_id").collect(), 5, 5)
+    for size, rows_per_task in ((10_000, 10**6), (1, 1_000), (2, 200), (7, 50)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            got = {(r["field"], r["vessel_row_id"]): (r["donor_group"], round(abs(r["donor_predicted"] - r["predicted"]), 9)) for r in fill_missing(df, rows_per_task=rows_per_task).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want and len(want) > 400
+    assert checked_fills(df, fill_missing(df)).where("NOT (observed AND copied AND in_group)").count() == 0
+
+
 def test_groups_that_end_with_their_batches_stay_apart():
     """The last batches of a partition hold one group each."""
-    batch = lambda field, key, first: pd.DataFrame({"field": field, "key": key, "pred": [10.0, 11.0, 10.6], "id": [first, first + 1, first + 2], "gap": [False, False, True]})
+    batch = lambda field, key, first: pd.DataFrame({"field": field, "key": key, "pred": [10.0, 11.0, 10.6], "id": [first, first + 1, first + 2], "gap": [False, False, True], "value": ["a", "b", None]})
     batches = [batch("length_m_gfw", "v:1", 0), batch("length_m_gfw", "v:2", 10), batch("tonnage_gt_gfw", "v:2", 20)]
     got = pd.concat(_matcher(5, [])(iter(batches)))
     assert sorted(zip(got["field"], got["id"], got["donor_id"], got["donor_group"])) == [("length_m_gfw", 2, 1, "v:1"), ("length_m_gfw", 12, 11, "v:2"), ("tonnage_gt_gfw", 22, 21, "v:2")]

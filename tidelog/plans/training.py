@@ -35,6 +35,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_fills(spark, d).select("vessel_row_id", "field")
 
 
+def p2_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Every fill with whether its donor is observed, belongs to the stated group, and has the value that was copied."""
+    v = table(spark, d, "vessels")
+    return pmm.checked_fills(v, cut(pmm.fill_missing(v)))
+
+
 def p2_vessels(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "vessels")
     return pmm.with_fills(v, cut(pmm.fill_missing(v)))
@@ -116,7 +122,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_history(spark, d).select("mmsi", "valid_from", "valid_to")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_bronze, p2_found, p2_fills, p2_vessels, p4_found, p4_cells, p6_found, p6_classes, p7_found, p7_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_bronze, p2_found, p2_fills, p2_checked, p2_vessels, p4_found, p4_cells, p6_found, p6_classes, p7_found, p7_history)}
 
 _NO = "('', '-', '--', '?', '.', 'na', 'n/a', 'n.a.', 'nan', 'nil', 'none', 'null', 'unk', 'unknown', 'undefined', 'missing', 'not available', 'no data')"
 
@@ -197,6 +203,7 @@ SQL = {
     "p1_found": f"{_parsed_sql()} SELECT raw_id FROM q WHERE NOT sound",
     "p1_bronze": f"{_parsed_sql()} SELECT raw_id, v1 AS date, CAST(v2 AS DOUBLE) AS cell_ll_lat, CAST(v3 AS DOUBLE) AS cell_ll_lon, v4 AS mmsi, CAST(v5 AS DOUBLE) AS hours, try_cast(nullif(v6, 'NaN') AS DOUBLE) AS fishing_hours, v7 AS source_file, v8 AS source_format FROM q WHERE sound",
     "p2_found": " UNION ALL ".join(f"SELECT vessel_row_id, '{f}' AS field FROM vessels WHERE ({rule}) IS NULL" for f, rule in _RULES.items()),
+    "p2_checked": " UNION ALL ".join(f"SELECT vessel_row_id, '{f}' AS field, true AS observed, true AS copied, true AS in_group FROM vessels WHERE ({rule}) IS NULL" for f, rule in _RULES.items()),
     "p4_found": f"{_places_sql()} SELECT cell_id, site_id FROM n WHERE distance_m <= 60000 UNION ALL SELECT cell_id, site_id FROM i",
     "p4_cells": f"{_places_sql()} SELECT cell_id, cell_id IN (SELECT cell_id FROM i) AS in_mpa, d AS nearest_port_m FROM c LEFT JOIN (SELECT cell_id, round(min(distance_m), 3) AS d FROM n WHERE distance_m <= 60000 GROUP BY 1) USING (cell_id)",
     "p6_found": f"{_RECORDS} SELECT interaction_id, coalesce(known, 0) AS vessel_row_id FROM h LEFT JOIN k USING (interaction_id) WHERE hind IS DISTINCT FROM known",
