@@ -1,7 +1,8 @@
 import datetime as dt
 import random
 
-from tidelog.llm.survivor import FIELDS, depths, records, survivors
+from pyspark.sql import functions as F
+from tidelog.llm.survivor import FIELDS, agreement, chains, depths, records, survivors
 
 SCHEMA = "vessel_row_id long, mmsi string, year int, known_on date, registries_listed string, fishing_hours double, flag_gfw string, length_m_gfw double, value string"
 D = dt.date(2020, 1, 1)
@@ -50,3 +51,28 @@ def test_one_record_each(spark):
 def test_depths():
     assert depths([("a", "b"), ("b", "c"), ("a", "c")]) == {"a": 0, "b": 1, "c": 2}
     assert depths([("a", "b"), ("b", "a"), ("x", "y")]) == {"x": 0, "y": 1}
+
+
+def test_chains_order_words_in_part():
+    assert chains([("a", "b"), ("b", "c"), ("x", "y")]) == {("a", "b"), ("b", "c"), ("a", "c"), ("x", "y")}
+    assert chains([("a", "b"), ("b", "a"), ("b", "c")]) == {("a", "c"), ("b", "c")}
+
+
+def test_unrelated_words_and_contrary_signals_decide_nothing(spark):
+    rows = []
+    for g in range(40):  # a < b < c, x < y; hours grow
+        m = f"28{g:07d}"
+        rows += [(10 * g + i, m, 2020, D + dt.timedelta(days=i), "A", 1.0 + i, w, 20.0, "") for i, w in enumerate(("a", "b", "c"))]
+        rows += [(10_000 + 10 * g + i, m, 2021, D + dt.timedelta(days=i), "A", 1.0 + i, w, 20.0, "") for i, w in enumerate(("x", "y"))]
+    case = lambda n, dated, undated: [(n, f"28999{n:04d}", 2020, D, "A", *dated, 20.0, ""), (n + 1, f"28999{n:04d}", 2020, None, "A", *undated, 21.0, "")]
+    rows += case(5000, (None, "y"), (None, "c")) + case(5010, (None, "a"), (None, "c")) + case(5020, (5.0, "a"), (4.0, "c")) + case(5030, (5.0, "c"), (6.0, "a")) + case(5040, (5.0, "y"), (6.0, "c"))
+    got = {r["mmsi"]: r["vessel_row_id"] for r in survivors(spark.createDataFrame(rows, SCHEMA)).where("field = 'length_m_gfw' AND mmsi LIKE '28999%'").collect()}
+    assert [got[f"28999{n}"] for n in (5000, 5010, 5020, 5030, 5040)] == [5000, 5011, 5020, 5030, 5041]
+
+
+def test_hidden_dates_are_made_up_for(spark):
+    rows = []
+    for g in range(300):
+        rows += [(10 * g + i, f"28{g:07d}", 2020, D + dt.timedelta(days=i), "A|B|C|D"[: 1 + 2 * i], 10.0 * g + i, "old" if i < 2 else "new", 20.0 + i, "") for i in range(4)]
+    r = agreement(spark.createDataFrame(rows, SCHEMA), F.pmod(F.xxhash64("vessel_row_id"), F.lit(4)) == 0).collect()
+    assert len(r) == 4 and all(x["agreed"] == x["groups"] > 150 and x["agreed_without"] < 0.8 * x["groups"] for x in r)

@@ -18,6 +18,11 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.records(table(spark, d, "vessels"))
 
 
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How often the survivor is found although the dates of a fifth of the records are hidden."""
+    return survivor.agreement(table(spark, d, "vessels"), F.pmod(F.xxhash64("vessel_row_id"), F.lit(5)) == 0)
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "interactions").select("date", "mmsi", "cell_id", "cell_ll_lat", "cell_ll_lon")
 
@@ -80,11 +85,11 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_counts, p5_sketches, p5_within_bound, p8_ids, p9_found, p9_leaks, p10_found, p10_languages, p10_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_agreement, p5_counts, p5_sketches, p5_within_bound, p8_ids, p9_found, p9_leaks, p10_found, p10_languages, p10_segments)}
 
 _FIELDS = {
     "registries_listed": f"CASE WHEN ({_plain('registries_listed')}) IS NOT NULL THEN registries_listed END",
-    "fishing_hours": "CASE WHEN fishing_hours > 0 AND fishing_hours < 'inf'::DOUBLE THEN fishing_hours END",
+    "fishing_hours": "CASE WHEN NOT isnan(fishing_hours) AND fishing_hours > 0 AND fishing_hours < 'inf'::DOUBLE THEN fishing_hours END",
     "flag_gfw": _plain("flag_gfw"),
     "length_m_gfw": _number("length_m_gfw", 0, 130),
 }
@@ -103,6 +108,9 @@ def _tens(c: str) -> str:
 SQL = {
     "p3_found": f"WITH {_GROUPS} "
     + " UNION ALL ".join(f"SELECT vessel AS mmsi, year, '{f}' AS field, arg_max(vessel_row_id, (known_on, -vessel_row_id)) AS vessel_row_id FROM v JOIN g USING (vessel, year) WHERE ({rule}) IS NOT NULL GROUP BY ALL" for f, rule in _FIELDS.items()),
+    "p3_records": f"WITH v AS (SELECT {_VESSEL} AS vessel, * FROM vessels) SELECT vessel AS mmsi, year, "
+    + ", ".join(f"arg_max({value}, (known_on, -vessel_row_id)) FILTER (({rule}) IS NOT NULL) AS {f}, arg_max(vessel_row_id, (known_on, -vessel_row_id)) FILTER (({rule}) IS NOT NULL) AS {f}_row" for f, rule, value in ((f, r, "trim(registries_listed)" if f == "registries_listed" else r) for f, r in _FIELDS.items()))
+    + f" FROM v WHERE vessel IS NOT NULL AND year IS NOT NULL GROUP BY ALL HAVING {' OR '.join(f'count({r}) > 0' for r in _FIELDS.values())}",
     "p5_within_bound": f"""WITH i AS (SELECT {_VESSEL} AS vessel, *, strftime(date, '%Y-%m') AS ym, {_tens('cell_ll_lat')} AS a, {_tens('cell_ll_lon')} AS b FROM interactions),
 v AS (SELECT * FROM i WHERE vessel IS NOT NULL),
 e AS ({" UNION ALL ".join(f"SELECT '{level}' AS level, {key} AS key, vessel, cell_id FROM {source}" for level, key, source in _LEVELS)})
