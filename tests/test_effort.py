@@ -99,8 +99,7 @@ def dense_als(rows, rank, alpha, reg, iterations):
     for u, i, h in rows:
         c[users.index(u), items.index(i)] += alpha * np.log1p(h)
         p[users.index(u), items.index(i)] = 1.0
-    rng = np.random.default_rng(0)
-    x, y = rng.normal(0, 0.01, (len(users), rank)), rng.normal(0, 0.01, (len(items), rank))
+    x, y = np.zeros((len(users), rank)), als.drawn(np.arange(len(items)), rank, 0)
     for _ in range(iterations):
         for u in range(len(users)):
             x[u] = np.linalg.solve(y.T @ np.diag(c[u]) @ y + reg * np.eye(rank), y.T @ (c[u] * p[u]))
@@ -213,10 +212,54 @@ def test_serving(spark):
     e = spark.createDataFrame([("u", "1.0_2.0", dt.date(2024, 1, 1), 1.0), ("u", "9.0_9.0", dt.date(2024, 7, 1), 5.0), ("w", "x", dt.date(2024, 7, 1), 5.0)], "mmsi string, cell_id string, date date, fishing_hours double")
     cells = spark.createDataFrame([("1.0_2.0", 1.0, 2.0, -5.0, "Norvale", True, 10.0)], "cell_id string, cell_ll_lat double, cell_ll_lon double, depth_mean_m double, eez_sovereign string, in_mpa boolean, distance_to_port_m double")
     latest = spark.createDataFrame([("u", 2024, "", None, 12.0)], "mmsi string, year int, vessel_class_gfw string, flag_gfw string, length_m_gfw double")
-    s = serve.Store(e, effort.pair_hours(e), cells, latest, latest)
+    s = serve.Store(events=e, train=effort.pair_hours(e), cells=cells, latest=latest, vessels=latest)
     v = serve.vessel(s, "u").first()
     assert (v["gear"], v["flag"], v["active_days"], v["top_cells"][0]["cell_id"]) == ("unknown", "UNK", 2, "9.0_9.0")
     assert serve.history(s, "nobody").count() == 0 and serve.vessel(s, "nobody").count() == 0 and serve.history(s, "w").count() == 0
     assert serve.forecast(s, "summer").count() == 0 and serve.forecast(s, "summer", False).count() == 1 and serve.forecast(s, "no season").first()["season"] == "winter"
     assert serve.mpa_cells(s).count() == 1 and serve.mpa_cells(s, 3.0, 0.0, 4.0, 2.0).count() == 0 and serve.mpa_cells(s, west=3.0).count() == 1
     assert serve.stats(s).first()["n_mpa_cells"] == 1 and not serve.health(s).first()["live"] and serve.cell(s, "1.0_2.0").first()["top_gear_types"] == []
+
+
+def test_a_store_makes_its_parts_when_they_are_asked_for(spark):
+    asked = []
+    cells = spark.createDataFrame([("1.0_2.0", 1.0, 2.0)], "cell_id string, cell_ll_lat double, cell_ll_lon double")
+    s = serve.Store(cells=lambda: asked.append("cells") or cells, events=lambda: asked.append("events") or None)
+    assert serve.mpa_cells(s).count() == 0 and serve.mpa_cells(s).count() == 0  # without a column in_mpa no cell is known to be protected
+    assert asked == ["cells"]
+    for bad in (0, 20_001):
+        with pytest.raises(ValueError, match="mpa_cells"):
+            serve.mpa_cells(s, limit=bad)
+
+
+def test_first_factors_do_not_depend_on_the_table():
+    whole = als.drawn(np.arange(3_000), 8, 0)
+    assert (als.drawn(np.array([17, 2_999]), 8, 0) == whole[[17, 2_999]]).all() and (als.drawn(np.arange(5), 8, 1) != whole[:5]).all()
+    assert abs(whole.std() - 0.01) < 3e-4 and abs(whole.mean()) < 3e-4 and np.abs(whole).max() < 0.06
+
+
+def test_models_are_stored(spark, tmp_path):
+    rows, pairs = make_pairs(spark, 6, 5)
+    users, items = als.fit_als(pairs, 3, 0.1, 10.0, 1)
+    weights = np.arange(6.0).reshape(3, 2)
+    als.save_model(str(tmp_path), users, items, weights, pairs)
+    u, i = als.load_model(spark, str(tmp_path))
+    key = lambda df: sorted((r[0], r["ix"], tuple(r["f"])) for r in df.collect())
+    assert key(u) == key(users) and key(i) == key(items) and (als.load_weights(spark, str(tmp_path)) == weights).all()
+    assert sorted(map(tuple, als.load_matrix(spark, str(tmp_path)).collect())) == sorted(rows)
+
+
+def test_large_catalogues_are_salted(spark, monkeypatch):
+    rows, pairs = make_pairs(spark, 12, 9)
+    users = pairs.select("mmsi").distinct()
+    want = sorted(map(tuple, ranking.popularity(users, pairs, 3).collect()))
+    monkeypatch.setattr(ranking, "HEAD", 0)
+    assert sorted(map(tuple, ranking.popularity(users, pairs, 3).collect())) == want and want
+
+
+def test_a_leaking_split_is_an_error(spark):
+    rows, pairs = make_pairs(spark, 4, 4)
+    size = spark.createDataFrame([(4,)], "n_items long")
+    with pytest.raises(ValueError, match="new grounds"):
+        ranking.leaks_nothing(pairs, pairs, size)
+    assert ranking.leaks_nothing(pairs, pairs.limit(0), size).count() == 2

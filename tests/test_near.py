@@ -2,8 +2,8 @@ import json
 
 import numpy as np
 from pyspark.sql import functions as F
-from tidelog.operators.cells import nearest
-from tidelog.operators.near import containing, haversine, near
+from tidelog.operators.cells import Tree, nearest
+from tidelog.operators.near import _dealt, _ranges, containing, haversine, near
 from tidelog.sources.geojson import polygon_pieces
 
 C = F.col
@@ -26,12 +26,12 @@ def test_near_is_brute_force(spark):
         assert got == want and len(want) > 100
 
 
-def test_nearest_both_ways(spark):
+def test_nearest_is_brute_force(spark):
     a, da = points(spark, 40, 3, "a")
     b, db = points(spark, 60, 4, "b")
     want = {i: min(haversine(p, q, r, s, np) for _, r, s in b) for i, p, q in a}
-    for shipped in (1000, 10):
-        got = {r["point_id"]: r["distance_m"] for r in nearest(da, db, ("id", C("lat"), C("lon")), ("id", C("lat"), C("lon")), shipped).collect()}
+    for block in (1_000, 25):
+        got = {r["point_id"]: r["distance_m"] for r in nearest(da, db, ("id", C("lat"), C("lon")), ("id", C("lat"), C("lon")), block).collect()}
         got = {k: v for k, v in got.items() if k in want}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
 
@@ -49,3 +49,34 @@ def test_containing(spark):
     assert got == [("edge", "hole"), ("in", "hole"), ("in", "two"), ("line", "two")]
     assert containing(p.limit(0), polygon_pieces(areas), ("id", C("lat"), C("lon"))).count() == 0
     assert containing(p, polygon_pieces(areas.limit(0)), ("id", C("lat"), C("lon"))).count() == 0
+
+
+def test_copies_do_not_grow_with_the_data(spark):
+    """A hot strip of points all along a parallel is cut into ranges, so no row of them is dealt out, however many rows there are."""
+    for n in (2_000, 8_000):
+        p = spark.range(n).select(F.col("id").alias("point_id"), F.lit(0).alias("strip"), (F.col("id") * 360.0 / n - 180.0).alias("lon"))
+        a, b = _ranges(p, p.withColumnRenamed("point_id", "site_id"), 50, F.lit(300))
+        assert a.first()["ranges"] == b.first()["ranges"] == min(300, n // 50)
+        a, b = (x.withColumn("range", F.floor((F.col("lon") + 180.0) / 360.0 * F.col("ranges")).cast("int")) for x in (a, b))
+        a, b = _dealt(a, b, 60)
+        assert a.count() == b.count() == n
+
+
+def test_a_place_with_more_rows_than_a_part(spark):
+    rng = np.random.default_rng(9)
+    a = [(f"a{i}", 10.0 + float(x), 20.0 + float(y)) for i, (x, y) in enumerate(rng.normal(0, 0.01, (300, 2)))]
+    b = [(f"b{i}", 10.0 + float(x), 20.0 + float(y)) for i, (x, y) in enumerate(rng.normal(0, 0.01, (200, 2)))]
+    da, db = (spark.createDataFrame(x, "id string, lat double, lon double") for x in (a, b))
+    got = sorted((r["point_id"], r["site_id"]) for r in near(da, db, 1_000.0, ("id", C("lat"), C("lon")), ("id", C("lat"), C("lon")), 30).collect())
+    want = sorted((i, j) for i, p, q in a for j, r, s in b if haversine(p, q, r, s, np) <= 1_000.0)
+    assert got == want and len(want) > 1_000
+
+
+def test_the_tree_is_brute_force():
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 33, 3_000):
+        lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n)
+        lat[: n // 3], lon[: n // 3] = 10.0, 20.0  # a third at one place
+        p, q = np.degrees(np.arcsin(rng.uniform(-1, 1, 400))), rng.uniform(-180, 540, 400)
+        want = haversine(p[:, None], q[:, None], lat[None, :], lon[None, :], np).min(axis=1)
+        assert np.allclose(Tree(lat, lon).nearest(p, q), want, atol=1e-3)

@@ -13,25 +13,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tidelog.session import cut
+from tidelog.session import cut, numbered
 
 CHUNK = 50_000
 SHIPPED = 64 << 20
 
 
 def indexed(keys: DataFrame, key: str) -> DataFrame:
-    """The distinct keys with ix, their number from 0 in sorted order. What comes to the driver is a count per partition."""
-    part = cut(keys.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id()))
-    counts = {r["p"]: r["n"] for r in part.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    start = F.array(*map(F.lit, before)) if before else F.array(F.lit(0))
-    return part.select(key, (F.get(start, F.shiftright("_m", 33).cast("int")) + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("ix"))
+    """The distinct keys with ix, their number from 0 in sorted order."""
+    return numbered(keys.where(F.col(key).isNotNull()).select(key).distinct(), F.col(key)).withColumn("ix", F.col("ix").cast("int"))
+
+
+def drawn(ix: np.ndarray, rank: int, seed: int) -> np.ndarray:
+    """First factors of the entities: normal with deviation 0.01, each number from its own counter (hashed, Box and Muller), so they do not depend on the size of the table or on where a row is."""
+    counter = (np.asarray(ix, np.uint64)[:, None] * np.uint64(rank) + np.arange(rank, dtype=np.uint64)) * np.uint64(2) + np.uint64(seed) * np.uint64(0xD1342543DE82EF95)
+
+    def uniform(x: np.ndarray) -> np.ndarray:
+        x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+    return 0.01 * np.sqrt(-2.0 * np.log1p(-uniform(counter))) * np.cos(2.0 * np.pi * uniform(counter + np.uint64(1)))
 
 
 def confidence(pairs: DataFrame, alpha: float) -> DataFrame:
@@ -113,27 +119,19 @@ def _grams(rank: int):
 def fit_als(pairs: DataFrame, factors: int = 64, regularization: float = 0.1, alpha: float = 20.0, iterations: int = 12, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(mmsi, ix, f) and (cell_id, ix, f) from (mmsi, cell_id, hours), one row a pair.
 
-    The rank is at most the number of vessels or cells. First item factors are drawn with deviation 0.01, after as many
-    draws for the vessels, whose own are never used. No pairs give two empty tables."""
+    The rank is at most the number of vessels or cells. Item factors start as drawn() gives them. No pairs give two empty
+    tables."""
     users, items = indexed(pairs, "mmsi"), indexed(pairs, "cell_id")
     n_users, n_items = users.count(), items.count()
     rank = max(1, min(factors, n_users, n_items))
     coded = confidence(pairs.join(users.withColumnRenamed("ix", "u"), "mmsi").join(items.withColumnRenamed("ix", "i"), "cell_id").select("u", "i", "hours"), alpha)
     by_user, by_item = _grouped(coded, "u", "i"), _grouped(coded, "i", "u")
 
-    if (n_users + n_items) * rank * 8 <= SHIPPED:
-        rng = np.random.default_rng(seed)
-        rng.normal(0.0, 0.01, size=(n_users, rank))
-        first = rng.normal(0.0, 0.01, size=(n_items, rank))
-        start = lambda ix: [first[i].tolist() for i in ix]
-    else:
-        start = lambda ix: [np.random.default_rng((seed, int(i))).normal(0.0, 0.01, rank).tolist() for i in ix]
-
-    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"ix": f["ix"], "f": start(f["ix"])})
+            yield pd.DataFrame({"ix": f["ix"], "f": drawn(f["ix"].to_numpy(), rank, seed).tolist()})
 
-    y = items.select("ix").mapInPandas(drawn, "ix int, f array<double>")
+    y = items.select("ix").mapInPandas(start, "ix int, f array<double>")
     x = users.select("ix").withColumn("f", F.lit(None).cast("array<double>")).limit(0)
     for _ in range(iterations):
         x = cut(_half_step(by_user, y, rank, regularization, n_items))
@@ -148,13 +146,13 @@ def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, block
     of a block leave the task: never a row per user and item."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    numbered = cut(indexed(items, "cell_id").join(items.select("cell_id", "f"), "cell_id"))
-    n = numbered.count()
-    seen_ix = seen.select("mmsi", "cell_id").distinct().join(numbered.select("cell_id", "ix"), "cell_id").groupBy("mmsi").agg(F.collect_set("ix").alias("seen"))
+    coded = cut(indexed(items, "cell_id").join(items.select("cell_id", "f"), "cell_id"))
+    n = coded.count()
+    seen_ix = seen.select("mmsi", "cell_id").distinct().join(coded.select("cell_id", "ix"), "cell_id").groupBy("mmsi").agg(F.collect_set("ix").alias("seen"))
     who = cut(users.select("mmsi", "f").join(seen_ix, "mmsi", "left"))
     best = None
     for at in range(0, n, block):
-        part = [b for b in numbered.where((F.col("ix") >= at) & (F.col("ix") < at + block)).orderBy("ix").select("f", "cell_id").toArrow().to_batches() if len(b)]  # at most `block` rows
+        part = [b for b in coded.where((F.col("ix") >= at) & (F.col("ix") < at + block)).orderBy("ix").select("f", "cell_id").toArrow().to_batches() if len(b)]  # at most `block` rows
         shipped = users.sparkSession.sparkContext.broadcast((np.concatenate([_matrix(b.column(0)) for b in part]), [c for b in part for c in b.column(1).to_pylist()]))
 
         def run(frames: Iterator[pd.DataFrame], shipped=shipped, at=at) -> Iterator[pd.DataFrame]:
@@ -191,6 +189,8 @@ def pair_scores(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
     return joined.withColumn("score", F.coalesce(dot, F.lit(0.0))).drop("fu", "fi")
 
 
+#: Gears or flags that are encoded at most; more are an error.
+MOST_LEVELS = 2_000
 NUMBERS = ["length_m_gfw", "tonnage_gt_gfw", "engine_power_kw_gfw"]
 
 
@@ -199,7 +199,13 @@ def encode_vessels(keys: DataFrame, latest: DataFrame) -> tuple[DataFrame, list[
 
     Levels are in sorted order; a missing level leaves zeros. Levels are the vocabularies of gears and flags."""
     v = keys.select("mmsi").join(latest, "mmsi", "left")
-    levels = lambda c: [r[0] for r in v.where(F.col(c).isNotNull() & (F.col(c) != "")).select(c).distinct().orderBy(c).collect()]
+
+    def levels(c: str) -> list[str]:
+        found = v.where(F.col(c).isNotNull() & (F.col(c) != "")).select(c).distinct().orderBy(c).limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{c} has more than {MOST_LEVELS} levels: too many for one column each")
+        return [r[0] for r in found]
+
     gears, flags = levels("vessel_class_gfw"), levels("flag_gfw")
     good = lambda c: F.log1p(F.greatest(F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c)), F.lit(0.0)))
     number = {c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf"))), good(c)) for c in NUMBERS}
@@ -274,3 +280,32 @@ def tune(pairs: DataFrame, relevant: DataFrame, score, grid: list[dict] = GRID)
         if value > top:
             top, best = value, dict(settings)
     return best, trials
+
+
+def save_model(path: str, users: DataFrame, items: DataFrame, weights: np.ndarray | None = None, pairs: DataFrame | None = None) -> None:
+    """Write the factors, and where given the fold-in weights and the matrix that was fitted (pairs: mmsi, cell_id, hours, by the numbers of the factors), as Parquet below path."""
+    spark = users.sparkSession
+    users.write.mode("overwrite").parquet(f"{path}/users")
+    items.write.mode("overwrite").parquet(f"{path}/items")
+    if weights is not None:
+        spark.createDataFrame([(i, w) for i, w in enumerate(weights.tolist())], "feature int, weights array<double>").write.mode("overwrite").parquet(f"{path}/foldin")
+    if pairs is not None:
+        coded = pairs.join(users.select("mmsi", F.col("ix").alias("u")), "mmsi").join(items.select("cell_id", F.col("ix").alias("i")), "cell_id").select("u", "i", "hours")
+        coded.write.mode("overwrite").parquet(f"{path}/matrix")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The factors (mmsi, ix, f) and (cell_id, ix, f) that save_model wrote."""
+    return spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items")
+
+
+def load_weights(spark: SparkSession, path: str) -> np.ndarray:
+    """The fold-in weights that save_model wrote; a row per feature, of which there are at most twice MOST_LEVELS and a few."""
+    return np.array([r["weights"] for r in spark.read.parquet(f"{path}/foldin").orderBy("feature").collect()])
+
+
+def load_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(mmsi, cell_id, hours) of the matrix that save_model wrote."""
+    users, items = load_model(spark, path)
+    m = spark.read.parquet(f"{path}/matrix")
+    return m.join(users.select(F.col("ix").alias("u"), "mmsi"), "u").join(items.select(F.col("ix").alias("i"), "cell_id"), "i").select("mmsi", "cell_id", "hours")

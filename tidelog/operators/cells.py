@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tidelog.functions import exprs as X
-from tidelog.operators.near import RADIUS_M, containing, haversine, near
-from tidelog.session import cut
+from tidelog.operators.near import containing, haversine
+from tidelog.session import numbered
 
 COLUMNS = ["cell_id", "cell_ll_lat", "cell_ll_lon", "centroid_lat", "centroid_lon", "depth_mean_m", "depth_min_m", "eez_sovereign", "eez_territory", "eez_iso", "distance_to_port_m", "in_mpa"]
-#: Sites that are sent to every task at most; beyond that the search widens ring by ring.
-SHIPPED_SITES = 50_000
+#: Places in a leaf of a tree, and sites that are sent to every task at once.
+LEAF, BLOCK_SITES = 32, 1_000_000
 
 
 def distinct_cells(silver: DataFrame) -> DataFrame:
@@ -81,46 +81,87 @@ def marine_areas(areas: DataFrame, geometry: str = "geometry") -> DataFrame:
     return out
 
 
-def nearest(points: DataFrame, sites: DataFrame, point: tuple[str, Column, Column], site: tuple[str, Column, Column], shipped: int = SHIPPED_SITES) -> DataFrame:
-    """point_id, distance_m to the nearest site on the sphere. Points and sites without an id or a place are left out; without sites there are no rows.
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    a, o = np.radians(lat), np.radians(lon)
+    return np.column_stack([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)])
+
 
-    Up to `shipped` sites go to every task as unit vectors; the nearest has the greatest inner product. More sites are searched
-    in rings that widen until every point has found one."""
+class Tree:
+    """Places on the sphere, halved along their widest axis until LEAF of them are left in a box."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray) -> None:
+        v = _unit(lat, lon)
+        order, whole = np.arange(len(v)), [(0, len(v))]
+        leaves = []
+        while whole:
+            a, b = whole.pop()
+            part = order[a:b]
+            if b - a <= LEAF:
+                leaves.append((a, b))
+                continue
+            x = v[part]
+            half = (b - a) // 2
+            order[a:b] = part[np.argpartition(x[:, np.ptp(x, axis=0).argmax()], half)]
+            whole += [(a, a + half), (a + half, b)]
+        self.vectors, self.lat, self.lon = v[order], lat[order], lon[order]
+        self.starts, self.ends = (np.array([x[k] for x in leaves], np.int64) for k in (0, 1))
+        self.low = np.array([self.vectors[a:b].min(axis=0) for a, b in leaves]).reshape(-1, 3)
+        self.high = np.array([self.vectors[a:b].max(axis=0) for a, b in leaves]).reshape(-1, 3)
+
+    def nearest(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """Great-circle metres from each point to the nearest place: the closest box is searched, then those that may hold anything closer."""
+        out = np.full(len(lat), np.inf)
+        step = max(1, 1_000_000 // max(len(self.starts), 1))
+        for at in range(0, len(lat) if len(self.vectors) else 0, step):
+            part = slice(at, at + step)
+            v = _unit(lat[part], lon[part])
+            gap = np.zeros((len(v), len(self.starts)))
+            for k in range(3):
+                x = v[:, k : k + 1]
+                gap += np.maximum(np.maximum(self.low[:, k] - x, x - self.high[:, k]), 0.0) ** 2
+            rows = np.arange(len(v))
+            best, where = self._within(v, rows, gap.argmin(axis=1))
+            i, leaf = np.nonzero(gap <= best[:, None] + 1e-15)
+            more, spot = self._within(v, i, leaf)
+            order = np.lexsort((more, i))
+            first = order[np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]]))] if len(i) else order
+            closer = more[first] < best[i[first]]
+            where[i[first][closer]] = spot[first][closer]
+            out[part] = haversine(lat[part], lon[part], self.lat[where], self.lon[where], np)
+        return out
+
+    def _within(self, v: np.ndarray, i: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of a point and a box: the least squared chord to a place in the box, and that place."""
+        n = self.ends[leaf] - self.starts[leaf]
+        begin = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(begin, n) + np.repeat(self.starts[leaf], n)
+        d = ((v[np.repeat(i, n)] - self.vectors[place]) ** 2).sum(axis=1)
+        least = np.minimum.reduceat(d, begin) if len(begin) else d
+        hit = np.flatnonzero(d == np.repeat(least, n))
+        return least, place[hit[np.searchsorted(hit, begin)]] if len(begin) else place
+
+
+def nearest(points: DataFrame, sites: DataFrame, point: tuple[str, Column, Column], site: tuple[str, Column, Column], block: int = BLOCK_SITES) -> DataFrame:
+    """point_id, distance_m to the nearest site on the sphere. Points and sites without an id or a place are left out; without sites there are no rows. A point id that occurs twice gives one row.
+
+    Sites travel in blocks of at most `block` (24 bytes each), those of a block close together, and each task searches a
+    tree of them; the least distance of all blocks is taken."""
     good = lambda c: F.when(~F.isnan(c), c).cast("double")
-    s = sites.select(F.col(site[0]).alias("id"), good(site[1]).alias("lat"), good(site[2]).alias("lon")).where(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    p = points.select(F.col(point[0]).alias("point_id"), good(point[1]).alias("lat"), good(point[2]).alias("lon")).where(F.col("point_id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    if s.limit(shipped + 1).count() <= shipped:
-        rows = s.select("lat", "lon").toPandas()
-        place = rows.to_numpy(float)
-        vectors = _unit(place[:, 0], place[:, 1])
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = lambda df, x, name: df.select(F.col(x[0]).alias(name), good(x[1]).alias("lat"), good(x[2]).alias("lon")).where(F.col(name).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    p, s = place(points, point, "point_id"), numbered(place(sites, site, "id").select("lat", "lon").distinct(), F.floor(F.col("lat") / 10.0), F.col("lon"), F.col("lat"))
+    n = s.count()
+    out = p.select("point_id", F.lit(0.0).alias("distance_m")).limit(0)
+    for at in range(0, n, block):
+        rows = s.where((F.col("ix") >= at) & (F.col("ix") < at + block)).select("lat", "lon").toArrow()  # at most `block` rows
+        shipped = points.sparkSession.sparkContext.broadcast(Tree(rows.column("lat").to_numpy(), rows.column("lon").to_numpy()))
+
+        def run(frames: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             for f in frames:
-                lat, lon = f["lat"].to_numpy(), f["lon"].to_numpy()
-                out = np.full(len(f), np.nan)
-                for at in range(0, len(f), 512) if len(place) else ():
-                    b = slice(at, at + 512)
-                    best = (_unit(lat[b], lon[b]) @ vectors.T).argmax(axis=1)
-                    out[b] = haversine(lat[b], lon[b], place[best, 0], place[best, 1], np)
-                yield pd.DataFrame({"point_id": f["point_id"], "distance_m": out})
-
-        kind = p.schema["point_id"].dataType.simpleString()
-        return p.mapInPandas(run, f"point_id {kind}, distance_m double").where(~F.isnan("distance_m"))
-    out, left, radius = None, p, 50_000.0
-    while True:
-        ring = cut(near(left, s, radius, ("point_id", F.col("lat"), F.col("lon")), ("id", F.col("lat"), F.col("lon"))).groupBy("point_id").agg(F.min("distance_m").alias("distance_m")))
-        out = ring if out is None else out.unionByName(ring)
-        if radius >= RADIUS_M * np.pi:
-            return out
-        left = cut(left.join(ring, "point_id", "left_anti"))
-        if not left.limit(1).count():
-            return out
-        radius = min(radius * 4.0, RADIUS_M * np.pi + 1.0)
+                yield pd.DataFrame({"point_id": f["point_id"], "distance_m": shipped.value.nearest(f["lat"].to_numpy(), f["lon"].to_numpy())})
 
-
-def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    a, o = np.radians(lat), np.radians(lon)
-    return np.column_stack([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)])
+        one = p.mapInPandas(run, f"point_id {p.schema['point_id'].dataType.simpleString()}, distance_m double")
+        out = one if not at else out.unionByName(one)
+    return out.groupBy("point_id").agg(F.min("distance_m").alias("distance_m"))
 
 
 def checked(cells: DataFrame) -> DataFrame:

@@ -29,8 +29,13 @@ def scope_counts(scoped: DataFrame) -> DataFrame:
     return scoped.agg(F.count(F.lit(1)).alias("in_scope_rows"), F.count_if(e).alias("event_rows"), F.round(F.coalesce(F.sum(F.when(e, F.col("fishing_hours"))), F.lit(0.0)), 4).alias("fishing_hours"), F.count_if(~e).alias("transit_or_zero_rows"))
 
 
+def window(events: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """start <= date < end; where events are partitioned by year, only the years of the window are read."""
+    return events.where(X.between_days(F.col("date"), start, end, F.col("year") if "year" in events.columns else None))
+
+
 def pair_hours(events: DataFrame, before: str | None = None) -> DataFrame:
-    return events.where(X.between_days(F.col("date"), None, before)).groupBy("mmsi", "cell_id").agg(F.sum("fishing_hours").alias("hours"))
+    return window(events, None, before).groupBy("mmsi", "cell_id").agg(F.sum("fishing_hours").alias("hours"))
 
 
 def matrix_shape(pairs: DataFrame) -> DataFrame:
@@ -41,8 +46,8 @@ def matrix_shape(pairs: DataFrame) -> DataFrame:
 
 def test_relevant(events: DataFrame, start: str = TEST_START) -> DataFrame:
     """Pairs of the test window: new grounds are those never fished before, cold vessels those never seen before."""
-    test = pair_hours(events.where(X.between_days(F.col("date"), start))).withColumnRenamed("hours", "fishing_hours")
-    before = events.where(X.between_days(F.col("date"), None, start)).select("mmsi", "cell_id").distinct()
+    test = pair_hours(window(events, start)).withColumnRenamed("hours", "fishing_hours")
+    before = window(events, None, start).select("mmsi", "cell_id").distinct()
     pairs = before.withColumn("_p", F.lit(True))
     users = before.select("mmsi").distinct().withColumn("_u", F.lit(True))
     out = test.join(pairs, ["mmsi", "cell_id"], "left").join(users, "mmsi", "left")
@@ -60,9 +65,9 @@ def protocol_stats(relevant: DataFrame) -> DataFrame:
 
 def new_grounds(events: DataFrame, history_end: str, window_end: str) -> DataFrame:
     """Pairs of a window that are new to vessels with a history."""
-    history = events.where(X.between_days(F.col("date"), None, history_end)).select("mmsi", "cell_id").distinct()
-    window = events.where(X.between_days(F.col("date"), history_end, window_end)).select("mmsi", "cell_id").distinct()
-    return window.join(history, ["mmsi", "cell_id"], "left_anti").join(history.select("mmsi").distinct(), "mmsi", "left_semi")
+    history = window(events, None, history_end).select("mmsi", "cell_id").distinct()
+    new = window(events, history_end, window_end).select("mmsi", "cell_id").distinct()
+    return new.join(history, ["mmsi", "cell_id"], "left_anti").join(history.select("mmsi").distinct(), "mmsi", "left_semi")
 
 
 def climatology(events: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ Landed rows are the interactions with faults put in by row number, so that every
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tidelog.functions import exprs as X
 from tidelog.operators import als, cells, clean, eda, effort, near, ranking, serve
-from tidelog.session import cut, table
+from tidelog.session import cut, shared_dir, table
+from tidelog.sources import sinks
 from tidelog.sources.geojson import polygon_pieces
 
 SOVEREIGN = "Norvale"
@@ -42,16 +45,40 @@ def silver(spark, d):
     return clean.silver(stage(spark, d))
 
 
+def _layer(spark: SparkSession, d: str, name: str) -> str:
+    """Where a layer of the tables in d is stored while this session runs: in the shared folder, under what tells this state of the interactions from another."""
+    status = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/interactions.parquet")
+    at = status.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(status)
+    state = f"{at.getPath()}|{at.getLen()}|{at.getModificationTime()}"
+    return f"{shared_dir(spark)}/{name}-{hashlib.sha256(state.encode()).hexdigest()[:16]}"
+
+
+def stored_silver(spark, d):
+    """The silver table by month, written when it is first asked for; filters on year, month, hours and ratio reach its scan."""
+    path = _layer(spark, d, "silver")
+    if not sinks.exists(spark, path):
+        sinks.write_months(silver(spark, d).select(*clean.SILVER), path)
+    return spark.read.parquet(path).select(*clean.SILVER)
+
+
+def stored_events(spark, d):
+    """The fishing events by month, from the stored silver table."""
+    path = _layer(spark, d, "events")
+    if not sinks.exists(spark, path):
+        sinks.write_months(stored_silver(spark, d).where(effort.is_event()).select("mmsi", "cell_id", "date", "fishing_hours", "year", "month"), path)
+    return spark.read.parquet(path)
+
+
 def vessels(spark, d):
     return clean.clean_vessels(table(spark, d, "vessels"))
 
 
 def events(spark, d, sovereign=None):
-    return effort.events(effort.in_scope(silver(spark, d), table(spark, d, "cells"), sovereign))
+    return effort.in_scope(stored_events(spark, d), table(spark, d, "cells"), sovereign).select("mmsi", "cell_id", "date", "fishing_hours", "year")
 
 
 def kept_events(spark, d):
-    return cut(events(spark, d))
+    return events(spark, d)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -84,7 +111,7 @@ def _point():
 
 
 def distinct_cells(spark, d):
-    return rounded(cells.distinct_cells(silver(spark, d)), "centroid_lat", "centroid_lon")
+    return rounded(cells.distinct_cells(stored_silver(spark, d)), "centroid_lat", "centroid_lon")
 
 
 def pixels(spark, d):
@@ -129,11 +156,11 @@ def serving_cells(spark, d):
 
 
 def scope_events(spark, d):
-    return rounded(events(spark, d, SOVEREIGN), "fishing_hours")
+    return rounded(events(spark, d, SOVEREIGN).drop("year"), "fishing_hours")
 
 
 def scope_counts(spark, d):
-    return effort.scope_counts(effort.in_scope(silver(spark, d), table(spark, d, "cells"), SOVEREIGN))
+    return effort.scope_counts(effort.in_scope(stored_silver(spark, d), table(spark, d, "cells"), SOVEREIGN))
 
 
 def pair_hours(spark, d):
@@ -215,10 +242,22 @@ def season_weights(spark, d):
 
 
 def store(spark, d, factors: bool = False) -> serve.Store:
-    e, pairs = _split(spark, d)
-    v = cut(vessels(spark, d))
-    users, items = als.fit_als(pairs) if factors else (None, None)
-    return serve.Store(e, pairs, table(spark, d, "cells"), cut(clean.latest_vessels(v)), v, users, items)
+    """What the service reads; each part is made when it is asked for, the factors are read from the stored model."""
+    parts = {
+        "events": lambda: events(spark, d), "train": lambda: effort.pair_hours(events(spark, d), effort.TEST_START), "cells": lambda: table(spark, d, "cells"),
+        "vessels": lambda: cut(vessels(spark, d)), "latest": lambda: cut(clean.latest_vessels(vessels(spark, d))),
+    }
+    if factors:
+        parts |= {"users": lambda: stored_model(spark, d)[0], "items": lambda: stored_model(spark, d)[1]}
+    return serve.Store(**parts)
+
+
+def stored_model(spark, d):
+    """The factors of the training window with the defaults of fit_als, fitted and stored when they are first asked for."""
+    path = _layer(spark, d, "model")
+    if not sinks.exists(spark, f"{path}/items"):
+        als.save_model(path, *als.fit_als(_split(spark, d)[1]))
+    return als.load_model(spark, path)
 
 
 def _busiest(s: serve.Store) -> str:
@@ -245,7 +284,7 @@ def cell_top_gear(spark, d):
 
 def cell_detail(spark, d):
     s = store(spark, d)
-    return serve.cell(s, s.events.agg(F.max_by("cell_id", "fishing_hours")).first()[0]).withColumn("top_gear_types", F.array_join("top_gear_types", ","))
+    return serve.cell(s, s.events.orderBy(F.round("fishing_hours", 6).desc(), "cell_id").first()["cell_id"]).withColumn("top_gear_types", F.array_join("top_gear_types", ","))
 
 
 def mpa_cells(spark, d):
@@ -260,6 +299,10 @@ def engine_stats(spark, d):
     return serve.stats(store(spark, d))
 
 
+def health(spark, d):
+    return serve.health(store(spark, d, True))
+
+
 def recommendations(spark, d):
     s = store(spark, d, True)
     return serve.recommendations(s, _busiest(s), 20, True, "summer")
@@ -341,6 +384,18 @@ def _stand_ins(spark, d):
     return users, items, pairs
 
 
+def factor_recommendations(spark, d):
+    """Recommendations with the embeddings as factors: those of the first vectors for vessels, the others for the cells in the order of their ids."""
+    vectors, _, _ = _stand_ins(spark, d)
+    grid = als.indexed(table(spark, d, "cells"), "cell_id").select("cell_id", (F.col("ix") + 100).cast("long").alias("vec_id"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("f"))
+    items = grid.join(e, "vec_id").select("cell_id", "f")
+    seen = grid.select(F.pmod(F.col("vec_id") * 7, F.lit(100)).cast("string").alias("mmsi"), "cell_id")
+    latest = vectors.select("mmsi", F.when(F.col("mmsi") == "7", "drifting_longlines").alias("vessel_class_gfw"))
+    s = serve.Store(events=lambda: events(spark, d), train=seen, cells=table(spark, d, "cells"), latest=latest, users=vectors, items=items)
+    return rounded(serve.recommendations(s, "7", 20, True, "summer"), "score", "distance_to_port")
+
+
 def factor_scores(spark, d):
     users, items, pairs = _stand_ins(spark, d)
     return rounded(als.pair_scores(pairs, users, items), "score")
@@ -360,7 +415,7 @@ def anomaly_scores(spark, d):
 def _eda(name, *more):
     def run(spark, d):
         own = [m(spark, d) if callable(m) else m for m in more]
-        return getattr(eda, name)(silver(spark, d), *own)
+        return getattr(eda, name)(stored_silver(spark, d), *own)
 
     return run
 
@@ -376,7 +431,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         quarantine_rows, silver_merge, vessel_dedupe, vessel_quarantine, latest_gear, distinct_cells, cell_depth_zonal, cell_eez, cell_in_mpa, cell_port_distance, cell_summary, serving_cells, scope_events, scope_counts, pair_hours, matrix_shape, confidence,
         test_relevant, protocol_stats, new_ground_window, popularity_topk, popularity_by_gear_topk, ranking_metrics, gear_cold_metrics, leak_check, history_ranking, season_climatology, season_weights, vessel_list, vessel_detail, vessel_history, cell_top_gear,
-        cell_detail, mpa_cells, forecast, engine_stats, recommendations, anomalies, als_fit, als_recommend, foldin_fit, hybrid_recommend, als_metrics, als_tune, vessel_features, factor_scores, factor_topk, anomaly_scores,
+        cell_detail, mpa_cells, forecast, engine_stats, health, recommendations, factor_recommendations, anomalies, als_fit, als_recommend, foldin_fit, hybrid_recommend, als_metrics, als_tune, vessel_features, factor_scores, factor_topk, anomaly_scores,
     )},
     "eda_inventory": _eda("inventory"),
     "eda_ratio_buckets": _eda("ratio_buckets"),

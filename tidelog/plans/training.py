@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tidelog.functions.values import VALUE_RULES, plain_text, vessel_of
 from tidelog.operators import asof, error_parse, history, near, pmm
+from tidelog.operators.cells import nearest
 from tidelog.session import cut, table
 from tidelog.sources.geojson import polygon_pieces
 
@@ -66,13 +67,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Per cell in_mpa and, where an anchorage lies within 60 km, the distance to the nearest."""
-    ports, areas = _cell_sites(spark, d)
-    nearest = ports.groupBy("point_id").agg(F.round(F.min("distance_m"), 3).alias("nearest_port_m"))
-    inside = areas.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_areas"))
-    cells = table(spark, d, "cells").select("cell_id")
-    out = cells.join(nearest.withColumnRenamed("point_id", "cell_id"), "cell_id", "left").join(inside.withColumnRenamed("point_id", "cell_id"), "cell_id", "left")
-    return out.select("cell_id", F.col("n_areas").isNotNull().alias("in_mpa"), "nearest_port_m")
+    """Per cell in_mpa and the distance to the nearest anchorage, however far."""
+    cells = table(spark, d, "cells").select("cell_id", "cell_ll_lat", "cell_ll_lon", "centroid_lat", "centroid_lon")
+    point = ("cell_id", _place("lat"), _place("lon"))
+    areas = near.containing(cells, polygon_pieces(table(spark, d, "protected_areas").select("area_id", "geometry")), point)
+    inside = areas.select(F.col("point_id").alias("cell_id"), F.lit(True).alias("in_mpa")).distinct()
+    port = nearest(cells, table(spark, d, "anchorages"), point, ("s2id", F.col("lat"), F.col("lon"))).withColumnRenamed("point_id", "cell_id")
+    out = cells.select("cell_id").join(port, "cell_id", "left").join(inside, "cell_id", "left")
+    return out.select("cell_id", F.coalesce("in_mpa", F.lit(False)).alias("in_mpa"), F.round("distance_m", 3).alias("distance_to_port_m"))
 
 
 def _events_with_records(spark: SparkSession, d: str) -> DataFrame:
@@ -174,12 +176,15 @@ p AS (SELECT raw_id, shape, {', '.join(value(i) for i in range(1, 9))} FROM t),
 q AS (SELECT *, shape AND coalesce({' AND '.join(f'({x})' for x in tests)}, false) AS sound FROM p)"""
 
 
+_REACH = "a.lat BETWEEN c.lat - 0.55 AND c.lat + 0.55 AND "
+
+
 def _places_sql() -> str:
     return """WITH p AS (SELECT cell_id, CASE WHEN gap THEN cell_ll_lat + 0.05 ELSE centroid_lat END AS lat, CASE WHEN gap THEN cell_ll_lon + 0.05 ELSE centroid_lon END AS raw
   FROM (SELECT *, coalesce(isnan(centroid_lat) OR isnan(centroid_lon), true) AS gap FROM cells)),
 c AS (SELECT cell_id, lat, raw - floor((raw + 180.0) / 360.0) * 360.0 AS lon FROM p),
 n AS (SELECT cell_id, s2id AS site_id, 2.0 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(a.lat) - radians(c.lat)) / 2), 2) + cos(radians(c.lat)) * cos(radians(a.lat)) * pow(sin((radians(a.lon) - radians(c.lon)) / 2), 2)))) AS distance_m
-  FROM c JOIN anchorages a ON a.lat BETWEEN c.lat - 0.55 AND c.lat + 0.55 AND NOT isnan(a.lat) AND NOT isnan(a.lon)),
+  FROM c JOIN anchorages a ON a.lat BETWEEN c.lat - 0.55 AND c.lat + 0.55 AND a.lat IS NOT NULL AND a.lon IS NOT NULL AND NOT isnan(a.lat) AND NOT isnan(a.lon)),
 g AS (SELECT area_id, unnest(CASE WHEN geometry->>'$.type' = 'Polygon' THEN [CAST(geometry->'$.coordinates' AS DOUBLE[][][])] ELSE CAST(geometry->'$.coordinates' AS DOUBLE[][][][]) END) AS piece FROM protected_areas),
 r AS (SELECT area_id, piece_no, unnest(piece) AS ring FROM (SELECT *, row_number() OVER () AS piece_no FROM g)),
 e AS (SELECT area_id, piece_no, unnest(range(1, len(ring))) AS k, ring FROM r),
@@ -205,7 +210,7 @@ SQL = {
     "p2_found": " UNION ALL ".join(f"SELECT vessel_row_id, '{f}' AS field FROM vessels WHERE ({rule}) IS NULL" for f, rule in _RULES.items()),
     "p2_checked": " UNION ALL ".join(f"SELECT vessel_row_id, '{f}' AS field, true AS observed, true AS copied, true AS in_group FROM vessels WHERE ({rule}) IS NULL" for f, rule in _RULES.items()),
     "p4_found": f"{_places_sql()} SELECT cell_id, site_id FROM n WHERE distance_m <= 60000 UNION ALL SELECT cell_id, site_id FROM i",
-    "p4_cells": f"{_places_sql()} SELECT cell_id, cell_id IN (SELECT cell_id FROM i) AS in_mpa, d AS nearest_port_m FROM c LEFT JOIN (SELECT cell_id, round(min(distance_m), 3) AS d FROM n WHERE distance_m <= 60000 GROUP BY 1) USING (cell_id)",
+    "p4_cells": f"{_places_sql().replace(_REACH, '')} SELECT cell_id, cell_id IN (SELECT cell_id FROM i) AS in_mpa, d AS distance_to_port_m FROM c LEFT JOIN (SELECT cell_id, round(min(distance_m), 3) AS d FROM n GROUP BY 1) USING (cell_id)",
     "p6_found": f"{_RECORDS} SELECT interaction_id, coalesce(known, 0) AS vessel_row_id FROM h LEFT JOIN k USING (interaction_id) WHERE hind IS DISTINCT FROM known",
     "p6_classes": f"{_RECORDS} SELECT interaction_id, known AS vessel_row_id, cls AS vessel_class_known FROM i LEFT JOIN k USING (interaction_id)",
     "p7_found": f"{_CHOSEN} FROM z GROUP BY vessel, run",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,11 +28,16 @@ def build_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, a temporary one only where none is set."""
+    """The folder for checkpoints: the one the cluster names. Where none is named, a temporary one that ends with the process, on local masters only; else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidelog-"))
+        if named is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidelog-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -49,5 +56,24 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return df
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "ix") -> DataFrame:
+    """df with the number of each row from 0 in the given order, without a window over all rows: it is range-partitioned and sorted, and the driver adds up a count per partition."""
+    part = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    counts = {r["p"]: r["n"] for r in part.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    start = F.array(*(F.lit(b).cast("long") for b in before or [0]))
+    return part.withColumn(name, F.get(start, F.shiftright("_m", 33).cast("int")) + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table of that name: a Parquet file, or a folder of files whose columns may differ, which are brought together by name."""
+    return spark.read.option("mergeSchema", "true").parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
+    """The tables as temporary views, for SQL text."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)

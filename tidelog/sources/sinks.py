@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+MOST_ROWS = 10_000
 
 
 def _file(spark: SparkSession, path: str):
@@ -31,9 +33,10 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], force:
 
 
 def write_months(df: DataFrame, path: str) -> None:
-    """df by year and month; only months that df has are replaced. One task writes a month's part, salted, so a big month has several files."""
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in ("year", "month")]), F.lit(4)))
-    spread.repartition("year", "month", "_salt").drop("_salt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year", "month").parquet(path)
+    """df by year and month; only months that df has are replaced. A month is brought together in as few files as its size allows: the rebalancing splits big months and joins small ones."""
+    df.hint("rebalance", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year", "month").parquet(path)
+    fs, p = _file(df.sparkSession, path.rstrip("/") + "/_SUCCESS")  # Spark leaves it out when it replaces partitions
+    fs.create(p, True).close()
 
 
 def write_quarantine(df: DataFrame, path: str, months: list[tuple[int, int]]) -> None:
@@ -52,11 +55,13 @@ def write_sidecar(malformed: DataFrame, path: str) -> None:
 
 
 def write_report(path: str, **parts: object) -> dict:
-    """A JSON file with the parts and the time; one-row DataFrames become objects, others lists."""
+    """A JSON file with the parts and the time; one-row DataFrames become objects, others lists. A part of more than MOST_ROWS rows is an error: a report is no table."""
     out: dict = {"written_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
     for name, part in parts.items():
         if isinstance(part, DataFrame):
-            rows = [r.asDict(True) for r in part.limit(1_000).collect()]
+            rows = [r.asDict(True) for r in part.limit(MOST_ROWS + 1).collect()]
+            if len(rows) > MOST_ROWS:
+                raise ValueError(f"{name} has more than {MOST_ROWS} rows")
             part = rows[0] if len(rows) == 1 else rows
         out[name] = part
     Path(path).write_text(json.dumps(out, default=str, indent=1))
