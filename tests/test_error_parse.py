@@ -95,3 +95,14 @@ def test_split_keeps_all_rows_and_empty_tables(spark):
     assert good.count() == 2 and bad.count() == 1 and good.first()["mmsi"] == "286005462"
     good, bad = split_effort_lines(df.limit(0))
     assert good.count() == 0 and bad.count() == 0
+
+
+def test_a_long_line_of_garbage(spark):
+    """Its way back takes 64 bytes a symbol."""
+    import tracemalloc
+
+    tracemalloc.start()
+    cost, edits, values = cheapest_parse('"' * 20_000 + ",x" * 50, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cost > 0 and len(values) == 8 and peak < 20_000_000

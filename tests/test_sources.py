@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from tidelog.session import files, register_views
 from tidelog.sources import daily, sinks
 from tidelog.sources.geojson import polygon_pieces
 from tidelog.streaming.landing import land_new_files
@@ -51,6 +52,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_months(df, out)
     sinks.write_months(df.where("month = 2").withColumn("v", F.lit("c")), out)
     assert sorted(r["v"] for r in spark.read.parquet(out).collect()) == ["a", "c"]
+    assert sinks.exists(spark, out)
     sinks.write_quarantine(df.where("month = 2"), out, [(2023, 1), (2023, 2)])
     assert [r["v"] for r in spark.read.parquet(out).collect()] == ["b"]
     calls = []
@@ -77,3 +79,22 @@ def test_vessels_and_areas(spark, tmp_path):
     assert f.first()["properties"]["NAME"] == "x" and polygon_pieces(f).first()["max_lon"] == 1.0
     with pytest.raises(ValueError):
         daily.geojson_features(spark, str(tmp_path / "a.json"))
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "x.gpkg").write_text("")
+    with pytest.raises(ValueError, match="gpkg"):
+        daily.find_area_source(str(tmp_path / "only"))
+
+
+def test_a_partition_per_member(spark, folder):
+    for path in (str(folder / "effort-2024.zip"), f"file://{folder}/effort-2024.zip"):
+        lines = daily.zip_lines(spark, path)
+        got = {(r["source_file"], r["row_number"], r["p"]) for r in lines.withColumn("p", F.spark_partition_id()).collect()}
+        assert {p for *_, p in got} == {0, 1} and max(n for _, n, _ in got) == 5 and len(got) == 6
+
+
+def test_files_with_other_columns_and_views(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "a int, b string").write.parquet(str(tmp_path / "t" / "one.parquet"))
+    spark.createDataFrame([("y", 2.0)], "b string, c double").write.parquet(str(tmp_path / "t" / "two.parquet"))
+    assert sorted((r["a"] or 0, r["b"], r["c"] or 0.0) for r in files(spark, str(tmp_path / "t" / "*.parquet")).collect()) == [(0, "y", 2.0), (1, "x", 0.0)]
+    register_views(spark, str(tmp_path / "t"), ["one"])
+    assert spark.sql("SELECT b FROM one").first()["b"] == "x"

@@ -10,9 +10,11 @@ become one symbol) and the program runs once per signature in each worker. Every
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,87 @@ PIECES = re.compile(r'[^",]+|[",]')
 RUNS = re.compile(r'[^",]+')
 EDITS = {"d": "insert_delimiter", "D": "delete_delimiter", "q": "insert_quote", "Q": "delete_quote"}
 FAR = 1 << 30
-KEPT_SIGNATURES, KEPT_LENGTH = 20_000, 4_000
+KEPT_SIGNATURES, KEPT_LENGTH, KEPT_STEPS = 20_000, 4_000, 10_000
+
+
+def _moves(columns: int) -> tuple[dict[str, list[tuple[int, int, int, str]]], list[tuple[int, int, str]]]:
+    """(moves on each symbol: from, to, cost, effect) in the order in which ties are settled, and insertions (from, to, edit).
+
+    States are column * 4 + mode. Effects: v the symbol belongs to the value of its column, other letters are edits."""
+    on: dict[str, list[tuple[int, int, int, str]]] = {",": [], '"': [], "x": []}
+    between = []
+    width = columns * 4
+    for s in range(width):
+        mode, first = s & 3, s & ~3
+        if mode == QUOTED:
+            on[","].append((s, s, 0, "v"))
+        else:
+            if first + 4 < width:
+                on[","].append((s, first + 4, 0, ""))
+            on[","].append((s, s, 1, "D"))
+        if mode == START:
+            on['"'].append((s, first + QUOTED, 0, ""))
+        elif mode == QUOTED:
+            on['"'] += [(s, first + CLOSED, 0, ""), (s, s, 1, "vq")]
+        elif mode == CLOSED:
+            on['"'].append((s, first + QUOTED, 0, "v"))
+        on['"'].append((s, s, 1, "Q"))
+        if mode == QUOTED:
+            on["x"].append((s, s, 0, "v"))
+        elif mode != CLOSED:
+            on["x"].append((s, first + BARE, 0, "v"))
+        if mode in (START, QUOTED):
+            between.append((s, s + (QUOTED - START if mode == START else CLOSED - QUOTED), "q"))
+        if mode != QUOTED and s + 4 < width:
+            between.append((s, first + 4, "d"))
+    return on, between
+
+
+class Moves:
+    """The moves as arrays: for each symbol and state the moves that lead to it, in layers of one move a state at most, so ties go to the earlier layer; a move is coded in a byte."""
+
+    def __init__(self, columns: int) -> None:
+        on, self.between = _moves(columns)
+        self.codes = [m for moves in on.values() for m in moves]
+        self.width = columns * 4
+        self.layers: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for symbol, moves in on.items():
+            into: dict[int, list] = {}
+            for m in moves:
+                into.setdefault(m[1], []).append(m)
+            layers = []
+            for k in range(max(map(len, into.values()))):
+                part = [ms[k] for ms in into.values() if len(ms) > k]
+                layers.append(tuple(np.array(x) for x in ([m[0] for m in part], [m[1] for m in part], [m[2] for m in part], [self.codes.index(m) for m in part])))
+            self.layers[symbol] = layers
+        if self.width > 250 or len(self.codes) > 250:
+            raise ValueError("too many columns")
+        self.known: dict[tuple[bytes, str], tuple[bytes, int, np.ndarray, np.ndarray]] = {}
+
+    def settle(self, cost: np.ndarray, came: np.ndarray) -> None:
+        """Insertions lead to the next column or, within one, from START to QUOTED and from QUOTED to CLOSED, so one round in order settles them; came takes the insertion by which a state was reached."""
+        known = cost.tolist()
+        for k, (s, to, _) in enumerate(self.between):
+            if known[s] + 1 < known[to]:
+                known[to] = cost[to] = known[s] + 1
+                came[to] = k
+
+    def step(self, cost: np.ndarray, symbol: str) -> tuple[bytes, int, np.ndarray, np.ndarray]:
+        """From the costs before a symbol: those after it against the least of them, by how much that grew, and by which move and which insertion (255: none) each state was reached."""
+        new, back, inserted = np.full(self.width, FAR, np.int64), np.zeros(self.width, np.uint8), np.full(self.width, 255, np.uint8)
+        for source, to, extra, code in self.layers[symbol]:
+            c = cost[source] + extra
+            better = c < new[to]
+            new[to[better]] = c[better]
+            back[to[better]] = code[better]
+        self.settle(new, inserted)
+        least = int(new.min())
+        return np.where(new >= FAR, FAR, new - least).tobytes(), least, back, inserted
+
+
+@functools.cache
+def moves_of(columns: int) -> Moves:
+    return Moves(columns)
 
 
 def cheapest_parse(signature: str, columns: int) -> tuple[int, str, list[list[int]]]:
@@ -30,77 +112,37 @@ def cheapest_parse(signature: str, columns: int) -> tuple[int, str, list[list[in
 
     States are (column, mode). Moves on a symbol: text extends a bare or quoted value; a delimiter ends a value, is text
     inside quotes, or is deleted; a quote opens, closes or doubles, is deleted, or is doubled by an inserted one. Moves
-    between symbols insert a delimiter or a quote. Ties go to the move listed first."""
-    width = columns * 4
-    cost = [FAR] * width
+    between symbols insert a delimiter or a quote. Ties go to the move listed first. What a symbol does depends on the
+    costs of the states against the least of them only; such steps are kept, as they recur. For the way back two bytes a
+    state and symbol are held: 64 MB for a line with a million quotes, delimiters and runs between them."""
+    m = moves_of(columns)
+    n, width = len(signature), m.width
+    cost = np.full(width, FAR, np.int64)
     cost[0] = 0
-    back: list[list[tuple[int, str]]] = []
-
-    def settle(cost: list[int]) -> list[tuple[int, str] | None]:
-        """Insertions: they lead to the next column or, within one, from START to QUOTED and from QUOTED to CLOSED."""
-        came: list[tuple[int, str] | None] = [None] * width
-        for s in range(width):
-            c, mode = cost[s], s & 3
-            if c >= FAR:
-                continue
-            moves = []
-            if mode == START:
-                moves.append((s + QUOTED - START, "q"))
-            elif mode == QUOTED:
-                moves.append((s + CLOSED - QUOTED, "q"))
-            if mode != QUOTED and s + 4 < width:
-                moves.append(((s & ~3) + 4, "d"))
-            for to, edit in moves:
-                if c + 1 < cost[to]:
-                    cost[to], came[to] = c + 1, (s, edit)
-        return came
-
-    inserted = [settle(cost)]
-    for symbol in signature:
-        new, came = [FAR] * width, [(-1, "")] * width
-
-        def go(s: int, to: int, extra: int, what: str) -> None:
-            if cost[s] + extra < new[to]:
-                new[to], came[to] = cost[s] + extra, (s, what)
-
-        for s in range(width):
-            if cost[s] >= FAR:
-                continue
-            mode, first = s & 3, s & ~3
-            if symbol == ",":
-                if mode == QUOTED:
-                    go(s, s, 0, "v")
-                else:
-                    if first + 4 < width:
-                        go(s, first + 4, 0, "")
-                    go(s, s, 1, "D")
-            elif symbol == '"':
-                if mode == START:
-                    go(s, first + QUOTED, 0, "")
-                elif mode == QUOTED:
-                    go(s, first + CLOSED, 0, "")
-                    go(s, s, 1, "vq")
-                elif mode == CLOSED:
-                    go(s, first + QUOTED, 0, "v")
-                go(s, s, 1, "Q")
-            elif mode == QUOTED:
-                go(s, s, 0, "v")
-            elif mode != CLOSED:
-                go(s, first + BARE, 0, "v")
-        cost = new
-        back.append(came)
-        inserted.append(settle(cost))
+    first = np.full(width, 255, np.uint8)
+    m.settle(cost, first)
+    back, inserted = np.zeros((n + 1, width), np.uint8), np.zeros((n + 1, width), np.uint8)
+    inserted[0], base, at = first, 0, cost.tobytes()
+    for i, symbol in enumerate(signature, 1):
+        step = m.known.get((at, symbol))
+        if step is None:
+            if len(m.known) >= KEPT_STEPS:
+                m.known.clear()
+            step = m.known[at, symbol] = m.step(np.frombuffer(at, np.int64), symbol)
+        at, more, back[i], inserted[i] = step
+        base += more
+    cost = np.frombuffer(at, np.int64)
 
     last = width - 4
     state = min((last + START, last + BARE, last + CLOSED), key=lambda s: cost[s])
-    total, edits, values = cost[state], [], [[] for _ in range(columns)]
-    for i in range(len(signature), -1, -1):
-        while inserted[i][state] is not None:
-            state, edit = inserted[i][state]
+    total, edits, values = base + int(cost[state]), [], [[] for _ in range(columns)]
+    for i in range(n, -1, -1):
+        while (k := inserted[i, state]) != 255:
+            state, _, edit = m.between[k]
             edits.append(edit)
         if i:
             at = state
-            state, what = back[i - 1][at]
+            state, _, _, what = m.codes[back[i, at]]
             if what.startswith("v"):
                 values[at >> 2].append(i - 1)
             edits.extend(x for x in what if x != "v")

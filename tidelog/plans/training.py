@@ -23,6 +23,11 @@ def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
     return error_parse.split_effort_lines(table(spark, d, "raw_effort_lines"))[1]
 
 
+def p1_invalid(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that parse at no cost but hold an invalid value, with the first one as the reason."""
+    return p1_rejects(spark, d).where(F.col("edit_cost") == 0).select("raw_id", "reject_reason")
+
+
 def p1_bronze(spark: SparkSession, d: str) -> DataFrame:
     return error_parse.split_effort_lines(table(spark, d, "raw_effort_lines"))[0].select("raw_id", *(c[0] for c in error_parse.EFFORT_COLUMNS))
 
@@ -124,7 +129,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_history(spark, d).select("mmsi", "valid_from", "valid_to")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_bronze, p2_found, p2_fills, p2_checked, p2_vessels, p4_found, p4_cells, p6_found, p6_classes, p7_found, p7_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_invalid, p1_bronze, p2_found, p2_fills, p2_checked, p2_vessels, p4_found, p4_cells, p6_found, p6_classes, p7_found, p7_history)}
 
 _NO = "('', '-', '--', '?', '.', 'na', 'n/a', 'n.a.', 'nan', 'nil', 'none', 'null', 'unk', 'unknown', 'undefined', 'missing', 'not available', 'no data')"
 
@@ -155,9 +160,7 @@ _LINE = ",".join([_COL] * 8)
 def _parsed_sql() -> str:
     """A second way to the same columns: one regular expression for a sound line, then tests of each value."""
     value = lambda i: f"""CASE WHEN c[{i}] LIKE '"%' THEN trim(replace(substr(c[{i}], 2, length(c[{i}]) - 2), '""', '"'), ' ' || chr(9)) ELSE trim(c[{i}], ' ' || chr(9)) END AS v{i}"""
-    names = ", ".join(f"'{i}'" for i in range(1, 9))
     take = ", ".join(f"regexp_extract(l, '^{_LINE}$', {i})" for i in range(1, 9))
-    del names
     whole = lambda v: f"regexp_full_match({v}, {_NUM}) AND isfinite(try_cast({v} AS DOUBLE))"
     empty = "('', 'NA', 'NaN', 'null', 'NULL')"
     tests = [
@@ -173,7 +176,7 @@ def _parsed_sql() -> str:
     return f"""WITH s AS (SELECT raw_id, regexp_replace(line, '\\r$', '') AS l FROM raw_effort_lines),
 t AS (SELECT raw_id, coalesce(regexp_full_match(l, '{_LINE}'), false) AS shape, [{take}] AS c FROM s),
 p AS (SELECT raw_id, shape, {', '.join(value(i) for i in range(1, 9))} FROM t),
-q AS (SELECT *, shape AND coalesce({' AND '.join(f'({x})' for x in tests)}, false) AS sound FROM p)"""
+q AS (SELECT *, shape AND coalesce({' AND '.join(f'({x})' for x in tests)}, false) AS sound, coalesce({', '.join(f"CASE WHEN ({x}) IS NOT TRUE THEN 'invalid_value: {name}' END" for x, (name, *_) in zip(tests, error_parse.EFFORT_COLUMNS, strict=True))}) AS reason FROM p)"""
 
 
 _REACH = "a.lat BETWEEN c.lat - 0.55 AND c.lat + 0.55 AND "
@@ -206,6 +209,7 @@ h AS (SELECT interaction_id, arg_max(id, (year, known_on, -id)) AS hind FROM i J
 
 SQL = {
     "p1_found": f"{_parsed_sql()} SELECT raw_id FROM q WHERE NOT sound",
+    "p1_invalid": f"{_parsed_sql()} SELECT raw_id, reason AS reject_reason FROM q WHERE shape AND NOT sound",
     "p1_bronze": f"{_parsed_sql()} SELECT raw_id, v1 AS date, CAST(v2 AS DOUBLE) AS cell_ll_lat, CAST(v3 AS DOUBLE) AS cell_ll_lon, v4 AS mmsi, CAST(v5 AS DOUBLE) AS hours, try_cast(nullif(v6, 'NaN') AS DOUBLE) AS fishing_hours, v7 AS source_file, v8 AS source_format FROM q WHERE sound",
     "p2_found": " UNION ALL ".join(f"SELECT vessel_row_id, '{f}' AS field FROM vessels WHERE ({rule}) IS NULL" for f, rule in _RULES.items()),
     "p2_checked": " UNION ALL ".join(f"SELECT vessel_row_id, '{f}' AS field, true AS observed, true AS copied, true AS in_group FROM vessels WHERE ({rule}) IS NULL" for f, rule in _RULES.items()),

@@ -69,8 +69,12 @@ def numbered(df: DataFrame, *order: Column, name: str = "ix") -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table of that name: a Parquet file, or a folder of files whose columns may differ, which are brought together by name."""
-    return spark.read.option("mergeSchema", "true").parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, pattern: str) -> DataFrame:
+    """All Parquet files that match a pattern, as one table; their columns may differ and are brought together by name."""
+    return spark.read.option("mergeSchema", "true").parquet(pattern)
 
 
 def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:

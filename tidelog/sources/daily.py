@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidelog.operators.error_parse import NO_NUMBER, parsed
 
 # The columns that are read, the names of daily files.
@@ -30,31 +32,68 @@ def file_date(name: F.Column) -> F.Column:
     return F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})\.csv$", 1).try_cast("date")
 
 
+def _opened(path: str):
+    """A seekable file of any file system that Arrow knows by its address; a plain path is local."""
+    if "://" in path or path.startswith("file:"):
+        fs, at = FileSystem.from_uri(path)
+        return fs.open_input_file(at)
+    return open(path, "rb")
+
+
+class Member(InputPartition):
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+
+class ZipReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[Member]:
+        """A partition per daily member; only the zip's directory is read for it."""
+        with _opened(self.path) as f, zipfile.ZipFile(f) as z:
+            return [Member(m) for m in sorted(z.namelist()) if re.search(DAILY_NAME, m)] or [Member("")]
+
+    def read(self, member: Member) -> Iterator[pa.RecordBatch]:
+        if not member.name:
+            return
+        name = member.name.rsplit("/", 1)[-1]
+        with _opened(self.path) as f, zipfile.ZipFile(f) as z, z.open(member.name) as raw:
+            held, first = [], 1
+            for line in io.TextIOWrapper(raw, "utf-8", errors="replace", newline="\n"):
+                held.append(line.rstrip("\n"))
+                if len(held) == 50_000:
+                    yield self.batch(name, first, held)
+                    first, held = first + len(held), []
+            yield self.batch(name, first, held)
+
+    @staticmethod
+    def batch(name: str, first: int, lines: list[str]) -> pa.RecordBatch:
+        n = len(lines)
+        return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(["zip"] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(lines, pa.string())], names=["source_file", "source_format", "row_number", "line"])
+
+
+class ZipSource(DataSource):
+    """spark.read.format("daily_zip").load(path)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "daily_zip"
+
+    def schema(self) -> str:
+        return LINES
+
+    def reader(self, schema) -> ZipReader:
+        return ZipReader(self.options["path"])
+
+
 def zip_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of the daily members of a zip (never unpacked to disk): source_file, source_format, row_number (from 1; the header is 1), line.
 
-    A task reads one member, line by line; the driver reads only the zip's directory. Members with other names are ignored."""
-    with zipfile.ZipFile(path) as z:
-        members = sorted(m for m in z.namelist() if re.search(DAILY_NAME, m))
-    listed = spark.createDataFrame([(m,) for m in members], "member string")
-    if not members:
-        return spark.createDataFrame([], LINES)
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for member in f["member"]:
-                with zipfile.ZipFile(path) as z, z.open(member) as raw:
-                    text = io.TextIOWrapper(raw, "utf-8", errors="replace", newline="\n")
-                    n, held = 0, []
-                    for line in text:
-                        n += 1
-                        held.append((member.rsplit("/", 1)[-1], "zip", n, line.rstrip("\n")))
-                        if len(held) == 50_000:
-                            yield pd.DataFrame(held, columns=["source_file", "source_format", "row_number", "line"])
-                            held = []
-                    yield pd.DataFrame(held, columns=["source_file", "source_format", "row_number", "line"])
-
-    return listed.repartition(len(members), "member").mapInPandas(read, LINES)
+    A task reads one member, line by line. Members with other names are ignored. path: an address of a file system that
+    Arrow knows (hdfs, s3, gs, file), or a plain path that all workers see."""
+    spark.dataSource.register(ZipSource)
+    return spark.read.format("daily_zip").load(path)
 
 
 def dir_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -65,14 +104,16 @@ def dir_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_daily(spark: SparkSession, root: str, year: int) -> DataFrame:
-    """The lines of a year: of <root>/*<year>*.zip if there is one, else of the folder <root>/*<year>*; else an error."""
-    found = sorted(p for p in Path(root).iterdir() if str(year) in p.name)
-    for p in found:
-        if p.suffix == ".zip":
-            return zip_lines(spark, str(p))
-    for p in found:
-        if p.is_dir():
-            return dir_lines(spark, str(p))
+    """The lines of a year: of <root>/*<year>*.zip if there is one, else of the folder <root>/*<year>*; else an error. root is on any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s.getPath().getName(), s.isDirectory(), s.getPath().toString()) for s in fs.listStatus(p) if str(year) in s.getPath().getName())
+    for name, folder, path in found:
+        if name.endswith(".zip") and not folder:
+            return zip_lines(spark, path)
+    for _, folder, path in found:
+        if folder:
+            return dir_lines(spark, path)
     raise FileNotFoundError(f"no daily source of {year} in {root}")
 
 
@@ -105,11 +146,15 @@ def anchorage_table(spark: SparkSession, path: str) -> DataFrame:
 
 # Kinds of polygon files, the preferred first.
 SUFFIXES = [".gdb", ".gpkg", ".shp", ".geojson", ".json"]
+READABLE = [".geojson", ".json"]
 
 
 def find_area_source(root: str) -> Path | None:
-    """The preferred polygon file below root: by kind, then by the length of its name. Only GeoJSON can be read here."""
-    found = [p for p in Path(root).rglob("*") if p.suffix.lower() in SUFFIXES] if Path(root).is_dir() else []
+    """The preferred polygon file below root that can be read here: by kind, then by the length of its name. If there are only files of other kinds, an error names them."""
+    every = [p for p in Path(root).rglob("*") if p.suffix.lower() in SUFFIXES] if Path(root).is_dir() else []
+    found = [p for p in every if p.suffix.lower() in READABLE]
+    if every and not found:
+        raise ValueError(f"no reader for {', '.join(sorted({p.suffix.lower() for p in every}))}: areas are read from GeoJSON")
     return min(found, key=lambda p: (SUFFIXES.index(p.suffix.lower()), len(p.name), p.name), default=None)
 
 
