@@ -43,3 +43,17 @@ def test_documents(spark, samples):
     assert [(s["lang"], s["first"], s["last"]) for s in seg[4]] == [("en", 0, 1), ("de", 2, 3)]
     assert language_segments(df.limit(0), samples).count() == 0
     assert language_segments(df, samples.limit(0)).where("size(segments) > 0").count() == 0
+
+
+def test_segments_lead_back_to_the_text(spark):
+    samples = spark.read.parquet("/root/testdata/sf0.01/lang_samples.parquet")
+    text = {r["lang"]: r["text"] for r in samples.where("sample_id % 30 < 8").collect()}
+    de, fr = text["de"], text["fr"]
+    raw = "{{Box|name=x}}\n== Kopf ==\n" + de + "\n\n{|\n| a || b\n|}\n" + fr
+    docs = spark.createDataFrame([(1, raw, "de"), (2, "== Kopf ==\n* der Hafen und die Fischer von der Insel im Norden", "de"), (3, None, "de"), (4, "", None), (5, "qx zv wk", None)], "doc_id long, text string, lang string")
+    found = language_segments(docs, samples, places=True, whole=True)
+    got = {r["doc_id"]: r for r in found.collect()}
+    parts = {s["lang"]: raw[s["start"] : s["end"]] for s in got[1]["segments"]}
+    assert parts.keys() == {"de", "fr"} and parts["de"].rstrip(".!?") in de and parts["fr"].rstrip(".!?") in fr and min(map(len, parts.values())) > 20
+    languages = {r["doc_id"]: r for r in document_languages(found).collect()}
+    assert languages[2]["lang"] == "de" and not languages[2]["has_prose"] and languages[1]["mixed"] and languages[3]["lang"] is languages[4]["lang"] is languages[5]["lang"] is None

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tidelog.llm.markup import prose
+from tidelog.llm.markup import plain, prose
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
 #: Weight of the background distribution against a language's own counts, and of the uniform one in it: n-grams of names, unseen in all languages, then tell nothing.
@@ -153,6 +153,27 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+#: What may stand between two words that follow each other in the text as shown: anything but letters, targets of links, tags, entities.
+BETWEEN = r"(?:[\W\d_]|\[\[[^\[\]|]*\||<[^<>]*>|&\w+;)+?"
+
+
+def place(text: str, words: list[str], start: int, end: bool = False) -> int | None:
+    """Where the words stand in a text with markup, at or after start: the offset of their beginning or end. Fewer of them are looked for if all cannot be found; None if none can."""
+    for n in (6, 4, 2, 1):
+        if n <= len(words) or n == 1:
+            part = words[-n:] if end else words[:n]
+            if m := re.compile(BETWEEN.join(map(re.escape, part))).search(text, start):
+                return m.end() if end else m.start()
+    return None
+
+
+def offsets(text: str, first: str, last: str, start: int) -> tuple[int | None, int | None]:
+    """The offsets in text of the beginning of one sentence and of the end of another, which is not before it."""
+    a = place(text, LETTERS.findall(first), start)
+    at = place(text, LETTERS.findall(last), start if a is None else a)
+    return a, None if at is None else place(text, LETTERS.findall(last), at, True)
+
+
 def fitted(samples: DataFrame, documents: DataFrame | None = None) -> Classifier:
     """A classifier from samples (sample_id, lang, text; at most MOST_SAMPLES) and documents (doc_id, lang, text; at most MOST_DOCUMENTS with a label that names a language).
 
@@ -195,6 +216,17 @@ class Reader:
     def __setstate__(self, classifier: Classifier) -> None:
         self.__init__(classifier)
 
+    def whole(self, text: str | None) -> tuple[int, float]:
+        """Language and confidence of a text as a whole, for texts without sentences; (-1, 0) if it has too few letters or reads like random ones. The confidence is that of one n-gram in ten, as n-grams overlap and headings repeat."""
+        shown = letters(plain(text)) if text else ""
+        if not self.classifier.codes or len(shown) <= FEWEST_LETTERS:
+            return -1, 0.0
+        s = scored(self.classifier, [shown])[0]
+        if np.isnan(s[0]):
+            return -1, 0.0
+        s = (s - s.max()) / 10.0
+        return int(s.argmax()), float(1.0 / np.exp(s).sum())
+
     def read(self, texts: list[str | None]) -> list[list[tuple[str, int, float]]]:
         if not self.classifier.codes:
             return [[] for _ in texts]
@@ -226,30 +258,44 @@ def segments(found: list[tuple[str, int, float]]) -> list[tuple[int, int, int, f
     return [(a, b, c, p / n, n) for a, b, c, p, n in out]
 
 
-def language_segments(df: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, labelled (the language that its label names, if any) and segments (array of lang, first and last sentence, confidence, letters).
+def language_segments(df: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", places: bool = False, whole: bool = False) -> DataFrame:
+    """doc_id, labelled (the language that its label names, if any), segments (array of lang, first and last sentence, confidence, letters, and start and end) and whole (lang, confidence of a text without sentences of prose).
 
-    A text without whole sentences of prose, empty and null ones included, has no segments. The language of a document is
-    that of most letters: see document_languages."""
+    start and end are offsets in the text as it is, markup included; they are null unless places is set, or where the words
+    cannot be found again; whole is null unless it is asked for. A text without whole sentences of prose has no segments; null and empty ones have no language at
+    all. The language of a document is that of most letters: see document_languages."""
     reader = Reader(fitted(samples, df.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))))
     codes = reader.classifier.codes
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("confidence", pa.float64()), ("letters", pa.int32())]))
+    fields = [("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("confidence", pa.float64()), ("letters", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
+    kind, one = pa.list_(pa.struct(fields)), pa.struct([("lang", pa.string()), ("confidence", pa.float64())])
+
+    def row(raw: str | None, found: list[tuple[str, int, float]]) -> list[dict]:
+        out, at = [], 0
+        for k, i, j, p, n in segments(found):
+            start, end = offsets(raw, found[i][0], found[j][0], at) if places else (None, None)
+            at = end or start or at
+            out.append({"lang": codes[k], "first": i, "last": j, "confidence": p, "letters": n, "start": start, "end": end})
+        return out
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [[{"lang": codes[k], "first": i, "last": j, "confidence": p, "letters": n} for k, i, j, p, n in segments(found)] for found in reader.read(b.column(1).to_pylist())]
+            texts = b.column(1).to_pylist()
+            rows = [row(t, found) for t, found in zip(texts, reader.read(texts), strict=True)]
+            all_ = [(-1, 0.0) if r or not whole else reader.whole(t) for t, r in zip(texts, rows, strict=True)]
+            all_ = [{"lang": codes[k], "confidence": p} if k >= 0 else None for k, p in all_]
             labels = [label_of(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(labels, pa.string()), pa.array(rows, kind)], names=[doc_id, "labelled", "segments"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(labels, pa.string()), pa.array(rows, kind), pa.array(all_, one)], names=[doc_id, "labelled", "segments", "whole"])
 
-    schema = f"{doc_id} {df.schema[doc_id].dataType.simpleString()}, labelled string, segments array<struct<lang: string, first: int, last: int, confidence: double, letters: int>>"
+    schema = f"{doc_id} {df.schema[doc_id].dataType.simpleString()}, labelled string, segments array<struct<lang: string, first: int, last: int, confidence: double, letters: int, start: int, end: int>>, whole struct<lang: string, confidence: double>"
     return df.select(doc_id, F.col(text).cast("string").alias(text), F.col(lang).cast("string").alias(lang)).mapInArrow(read, schema)
 
 
 def document_languages(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, labelled, lang (that of most letters; null: no prose), confidence, and mixed: whether it has several."""
+    """doc_id, labelled, lang (that of most letters of prose or, without prose, of the text as a whole; null: neither), confidence, mixed (whether its prose has several) and has_prose."""
     s = F.expr("transform(array_distinct(transform(segments, s -> s.lang)), l -> struct(aggregate(filter(segments, s -> s.lang = l), 0L, (n, s) -> n + s.letters) AS letters, l AS lang, aggregate(filter(segments, s -> s.lang = l), 0D, (c, s) -> c + s.confidence * s.letters) AS weight))")
     top = F.array_max(s)
-    return found.select(doc_id, "labelled", top["lang"].alias("lang"), (top["weight"] / top["letters"]).alias("confidence"), (F.size(s) > 1).alias("mixed"))
+    lang, confidence = F.coalesce(top["lang"], F.col("whole.lang")), F.coalesce(top["weight"] / top["letters"], F.col("whole.confidence"))
+    return found.select(doc_id, "labelled", lang.alias("lang"), confidence.alias("confidence"), (F.size(s) > 1).alias("mixed"), (F.size("segments") > 0).alias("has_prose"))
 
 
 def mislabelled(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

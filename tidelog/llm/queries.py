@@ -68,8 +68,8 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.language_segments(table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "lang_samples"))
+def _segments(spark: SparkSession, d: str, **more: bool) -> DataFrame:
+    return language.language_segments(table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "lang_samples"), **more)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,11 +78,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:
-    return language.document_languages(_segments(spark, d))
+    return language.document_languages(_segments(spark, d, whole=True))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.*")
+    """Each run of sentences of one language, with its offsets in the text."""
+    return _segments(spark, d, places=True).select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.*")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_agreement, p5_counts, p5_sketches, p5_within_bound, p8_ids, p9_found, p9_leaks, p10_found, p10_languages, p10_segments)}
