@@ -25,6 +25,8 @@ BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
 BACKGROUND, UNIFORM = 0.3, 0.6
 #: Labelled rows that the classifier is fitted on at most; the smallest ids are taken.
 MOST_SAMPLES, MOST_DOCUMENTS = 20_000, 4_000
+#: Tasks that the documents to learn from are dealt out to.
+LEARNERS = 16
 #: A sentence of prose has so many words, of so many letters in all.
 FEWEST_WORDS, FEWEST_LETTERS = 4, 16
 #: Logarithmic odds against a switch of language at a sentence, and those that a document needs to be fitted on.
@@ -90,15 +92,16 @@ class Classifier:
         good = [(label_of(lang) or lang, letters(text)) for lang, text in samples if lang and text and LETTERS.search(text)]
         self.codes = sorted({lang for lang, _ in good})
         self.counts = np.zeros((BUCKETS, len(self.codes)))
-        self.add(good)
-
-    def add(self, labelled: list[tuple[str, str]]) -> None:
-        """Count more texts (of letters()) with their codes, and make the table anew."""
-        at = {c: i for i, c in enumerate(self.codes)}
-        for i in range(0, len(labelled), 5_000):
-            part = labelled[i : i + 5_000]
+        at, counts = {c: i for i, c in enumerate(self.codes)}, np.zeros_like(self.counts)
+        for i in range(0, len(good), 5_000):
+            part = good[i : i + 5_000]
             b, owner = grams([t for _, t in part])
-            np.add.at(self.counts, (b, np.array([at[lang] for lang, _ in part])[owner]), 1.0)
+            np.add.at(counts, (b, np.array([at[lang] for lang, _ in part])[owner]), 1.0)
+        self.learn(counts)
+
+    def learn(self, counts: np.ndarray) -> None:
+        """Add counts by bucket and language, and make the table anew."""
+        self.counts += counts
         if self.codes:
             total = self.counts.sum(axis=0)
             background = (self.counts / total).mean(axis=1, keepdims=True) * (1 - UNIFORM) + UNIFORM / BUCKETS
@@ -177,6 +180,8 @@ def offsets(text: str, first: str, last: str, start: int) -> tuple[int | None, i
 def fitted(samples: DataFrame, documents: DataFrame | None = None) -> Classifier:
     """A classifier from samples (sample_id, lang, text; at most MOST_SAMPLES) and documents (doc_id, lang, text; at most MOST_DOCUMENTS with a label that names a language).
 
+    Documents are read in the tasks; what comes to the driver is a count per bucket and language, whatever their size.
+
     A document is used if the first fit, over all of its sentences, prefers the language of the label to all others by
     AGREES; of its sentences those for which no other language is preferred by SWITCH. So sentences that the first fit
     cannot tell apart are learned from the documents they stand in."""
@@ -189,16 +194,40 @@ def fitted(samples: DataFrame, documents: DataFrame | None = None) -> Classifier
     last = known.select("doc_id").orderBy("doc_id").limit(MOST_DOCUMENTS).agg(F.max("doc_id")).first()[0]
     if last is None:
         return first
-    agreed = set()
-    for r in known.where(F.col("doc_id") <= F.lit(last)).select("lang", "text").limit(MOST_DOCUMENTS).collect():
-        code = label_of(r["lang"])
-        texts = [letters(ASIDE.sub(" ", x)) for x in sentences(r["text"])] if code in first.codes else []
-        if texts:
-            own, s = first.codes.index(code), first.scores(texts)
-            total = s.sum(axis=0)
-            if total[own] - np.delete(total, own).max(initial=-np.inf) >= AGREES:
-                agreed.update((code, t) for t, x in zip(texts, s, strict=True) if x.max() - x[own] < SWITCH and len(t) > FEWEST_LETTERS)
-    first.add(sorted(agreed))
+
+    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Number of the language and letters of each sentence to learn from."""
+        for b in batches:
+            out: list[tuple[int, str]] = []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                code = label_of(lang)
+                texts = [letters(ASIDE.sub(" ", x)) for x in sentences(text)] if code in first.codes else []
+                if texts:
+                    own, s = first.codes.index(code), first.scores(texts)
+                    total = s.sum(axis=0)
+                    if total[own] - np.delete(total, own).max(initial=-np.inf) >= AGREES:
+                        out += [(own, t) for t, x in zip(texts, s, strict=True) if x.max() - x[own] < SWITCH and len(t) > FEWEST_LETTERS]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([t for _, t in out], pa.string())], names=["own", "text"])
+
+    shape = first.counts.shape
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each bucket occurs in each language, in the sentences of a task."""
+        n = np.zeros(shape, np.int64)
+        for b in batches:
+            own, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for i in range(0, len(texts), 5_000):
+                bucket, owner = grams(texts[i : i + 5_000])
+                np.add.at(n, (bucket, own[i : i + 5_000][owner]), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.ravel()[at])], names=["at", "n"])
+
+    chosen = known.where(F.col("doc_id") <= F.lit(last)).select("lang", "text").limit(MOST_DOCUMENTS)
+    learned = chosen.repartition(LEARNERS).mapInArrow(agreed, "own int, text string").distinct().mapInArrow(counted, "at int, n long")
+    sums = learned.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows per language
+    more = np.zeros(shape)
+    more.ravel()[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    first.learn(more)
     return first
 
 
