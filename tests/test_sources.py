@@ -1,9 +1,10 @@
 import json
+import tarfile
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
-from tidelog.session import files, register_views
+from tidelog.session import files, peak_memory_mb, register_views
 from tidelog.sources import daily, sinks
 from tidelog.sources.geojson import polygon_pieces
 from tidelog.streaming.landing import land_new_files
@@ -80,8 +81,8 @@ def test_vessels_and_areas(spark, tmp_path):
     with pytest.raises(ValueError):
         daily.geojson_features(spark, str(tmp_path / "a.json"))
     (tmp_path / "only").mkdir()
-    (tmp_path / "only" / "x.gpkg").write_text("")
-    with pytest.raises(ValueError, match="gpkg"):
+    (tmp_path / "only" / "x.shp").write_text("")
+    with pytest.raises(ValueError, match="shp"):
         daily.find_area_source(str(tmp_path / "only"))
 
 
@@ -98,3 +99,14 @@ def test_files_with_other_columns_and_views(spark, tmp_path):
     assert sorted((r["a"] or 0, r["b"], r["c"] or 0.0) for r in files(spark, str(tmp_path / "t" / "*.parquet")).collect()) == [(0, "y", 2.0), (1, "x", 0.0)]
     register_views(spark, str(tmp_path / "t"), ["one"])
     assert spark.sql("SELECT b FROM one").first()["b"] == "x"
+
+
+def test_artefacts_come_from_a_verified_archive(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    with tarfile.open(tmp_path / "t.tar", "w") as t:
+        t.add(tmp_path / "a.txt", "in/a.txt")
+    digest = sinks.md5_of(str(tmp_path / "t.tar"))
+    assert sinks.unpacked(str(tmp_path / "t.tar"), str(tmp_path / "out"), digest) == ["in/a.txt"] and (tmp_path / "out" / "in" / "a.txt").read_text() == "x"
+    with pytest.raises(ValueError, match="digest"):
+        sinks.unpacked(str(tmp_path / "t.tar"), str(tmp_path / "out"), "0")
+    assert min(peak_memory_mb(spark).values()) > 1

@@ -43,21 +43,21 @@ def as_known(events: DataFrame, entity: Column, at: Column, timelines: dict[str,
     """Every event once, with a column per timeline: the row id of the version valid at its time, null if none is.
 
     span: the first and last month bucket of the events. The bucket is part of the join key, so the events of a hot entity
-    are dealt out over its months; AQE splits what is still uneven. Events without entity or time skip the join. The names
-    of the timelines and _entity, _at, _bucket replace columns of the events with these names."""
-    e = events.withColumns({"_entity": entity, "_at": at.cast("date")}).drop(*timelines).withColumn("_bucket", month_of(F.col("_at")))
+    are dealt out over its months; AQE splits what is still uneven. Events without entity or time go through the join
+    under keys that no version has, spread by their hash. The names of the timelines and _entity, _at, _bucket replace
+    columns of the events with these names."""
+    spread = F.pmod(F.xxhash64(*events.columns), F.lit(4096)).cast("int")
+    e = events.withColumns({"_entity": entity.cast("string"), "_at": at.cast("date"), "_spread": spread}).drop(*timelines)
     known = F.col("_entity").isNotNull() & F.col("_at").isNotNull()
-    hit = e.where(known)
+    hit = e.withColumns({"_entity": F.when(known, F.col("_entity")).otherwise(""), "_bucket": F.when(known, month_of(F.col("_at"))).otherwise(-1 - F.col("_spread"))})
     pieces = None
     for name, intervals in timelines.items():  # one join for all timelines: each bucket has a short list per timeline
         b = bucketed(intervals, *span).withColumn("_timeline", F.lit(name))
         pieces = b if pieces is None else pieces.unionByName(b)
     listed = lambda n: F.collect_list(F.when(F.col("_timeline") == n, F.struct("valid_from", "valid_until", "row_id")))
-    pieces = pieces.groupBy("entity", "bucket").agg(*(listed(n).alias(n) for n in timelines))
+    pieces = pieces.where(F.col("bucket") >= 0).groupBy("entity", "bucket").agg(*(listed(n).alias(n) for n in timelines))
     pieces = pieces.withColumnsRenamed({"entity": "_entity", "bucket": "_bucket"})
     hit = hit.join(pieces, ["_entity", "_bucket"], "left")
     kept = [c for c in events.columns if c not in timelines]
     during = lambda v: (v["valid_from"] <= F.col("_at")) & (F.col("_at") < v["valid_until"])
-    out = hit.select(*kept, *(F.get(F.filter(F.col(n), during), F.lit(0))["row_id"].alias(n) for n in timelines))
-    types = {n: timelines[n].schema["row_id"].dataType for n in timelines}
-    return out.unionByName(e.where(~known).select(*kept, *(F.lit(None).cast(types[n]).alias(n) for n in timelines)))
+    return hit.select(*kept, *(F.get(F.filter(F.col(n), during), F.lit(0))["row_id"].alias(n) for n in timelines))

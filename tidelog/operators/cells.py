@@ -56,7 +56,7 @@ def attach_mpa(cells: DataFrame, pieces: DataFrame | None, point: tuple[str, Col
 
 
 # Which protected areas count.
-KEPT_MARINE, KEPT_REALM = ["1", "2"], ["MARINE", "COASTAL"]
+KEPT_MARINE, KEPT_REALM = [1.0, 2.0], ["MARINE", "COASTAL"]
 KEPT_STATUS = ["designated", "inscribed", "adopted", "established", "", "nan", "none"]
 KEPT_ENVIRON = ["M", "MARINE", "B", "BOTH"]
 
@@ -69,7 +69,7 @@ def marine_areas(areas: DataFrame, geometry: str = "geometry") -> DataFrame:
     out = areas.where(F.col(geometry).isNotNull() & (F.trim(geometry) != ""))
     text = lambda n: F.trim(F.coalesce(F.col(names[n]).cast("string"), F.lit("")))
     if "MARINE" in names:
-        out = out.where(F.col(names["MARINE"]).cast("string").try_cast("double").isin(1.0, 2.0))
+        out = out.where(F.col(names["MARINE"]).cast("string").try_cast("double").isin(KEPT_MARINE))
     elif "REALM" in names:
         out = out.where(F.upper(text("REALM")).isin(KEPT_REALM))
     if "STATUS" in names:
@@ -176,6 +176,11 @@ def summary(cells: DataFrame) -> DataFrame:
     return cells.agg(F.count(F.lit(1)).alias("cells"), gap("depth_mean_m"), gap("eez_sovereign"), gap("in_mpa"), F.count_if("in_mpa").alias("in_mpa"))
 
 
+def territories(cells: DataFrame, sovereign: str) -> DataFrame:
+    """eez_territory (null: none) and cells: how many cells of a sovereign lie in each territory."""
+    return cells.where(F.col("eez_sovereign") == sovereign).groupBy("eez_territory").agg(F.count(F.lit(1)).alias("cells"))
+
+
 def serving_cells(cells: DataFrame, catalog: DataFrame) -> DataFrame:
     """The cells of the catalogue and those in protected areas."""
     mark = catalog.select("cell_id").distinct().withColumn("_c", F.lit(True))

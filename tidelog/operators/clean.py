@@ -26,16 +26,21 @@ def reject_histogram(stage: DataFrame) -> DataFrame:
     return quarantined(stage).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _repairs() -> dict[str, F.Column]:
+    """What is repaired or only noticed in an accepted row."""
+    good = F.col("reject_reason").isNull()
+    return {
+        "accepted": good,
+        "null_fishing_hours_to_zero": good & F.col("fishing_hours").isNull(),
+        "hours_exceed_calendar_day": good & (F.col("hours") > 24.0),
+        "fishing_hours_exceed_calendar_day": good & (F.coalesce("fishing_hours", F.lit(0.0)) > 24.0),
+        "mmsi_not_9_digit": good & (F.length(X.trimmed(F.col("mmsi"))) != 9),
+    }
+
+
 def repair_counts(stage: DataFrame) -> DataFrame:
     """What is repaired or only noticed among the accepted rows."""
-    good = stage.where(F.col("reject_reason").isNull())
-    return good.agg(
-        F.count(F.lit(1)).alias("accepted"),
-        F.count_if(F.col("fishing_hours").isNull()).alias("null_fishing_hours_to_zero"),
-        F.count_if(F.col("hours") > 24.0).alias("hours_exceed_calendar_day"),
-        F.count_if(F.coalesce("fishing_hours", F.lit(0.0)) > 24.0).alias("fishing_hours_exceed_calendar_day"),
-        F.count_if(F.length(X.trimmed(F.col("mmsi"))) != 9).alias("mmsi_not_9_digit"),
-    )
+    return stage.agg(*(F.count_if(test).alias(name) for name, test in _repairs().items()))
 
 
 def repaired(stage: DataFrame) -> DataFrame:
@@ -58,13 +63,17 @@ def duplicate_stats(stage: DataFrame) -> DataFrame:
 
 
 def month_summary(stage: DataFrame) -> DataFrame:
-    """Rows in and refused per month of the file date; by year and in all as well."""
-    m = stage.groupBy(F.year("file_date").alias("year"), F.month("file_date").alias("month")).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(F.col("reject_reason").isNotNull()).alias("quarantined_rows"))
-    return m
+    """Per month of the file date: rows in, refused, accepted and repaired; and rows out of the merge of duplicates, whose months are those of their date."""
+    month = lambda c: (F.year(c).alias("year"), F.month(c).alias("month"))
+    rows = stage.groupBy(*month("file_date")).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(F.col("reject_reason").isNotNull()).alias("quarantined_rows"), *(F.count_if(test).alias(name) for name, test in _repairs().items()))
+    out = silver(stage).groupBy("year", "month").agg(F.count(F.lit(1)).alias("output_rows"))
+    both = rows.join(out, (rows["year"] == out["year"]) & (rows["month"] == out["month"]), "left").drop(out["year"], out["month"])
+    return both.withColumn("output_rows", F.coalesce("output_rows", F.lit(0)))
 
 
 def year_summary(months: DataFrame) -> DataFrame:
-    return months.groupBy("year").agg(F.count(F.lit(1)).alias("months"), F.sum("input_rows").alias("input_rows"), F.sum("quarantined_rows").alias("quarantined_rows"))
+    """The sums of a year's months, and their number."""
+    return months.groupBy("year").agg(F.count(F.lit(1)).alias("months"), *(F.sum(c).alias(c) for c in months.columns if c not in ("year", "month")))
 
 
 def missing_days(bronze: DataFrame) -> DataFrame:

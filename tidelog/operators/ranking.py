@@ -60,6 +60,13 @@ def popularity_by_gear(users: DataFrame, pairs: DataFrame, gear: DataFrame, k: i
     return topk_unseen(who, ranked.unionByName(catalog(pairs)), pairs, k)
 
 
+def gear_counts(users: DataFrame, gear: DataFrame) -> DataFrame:
+    """gear, vessels and fallback (whether they get the popularity of all) of the users; those without a gear are (unknown)."""
+    named = F.coalesce(F.nullif(F.col("gear"), F.lit("")), F.lit("(unknown)"))
+    counts = users.select("mmsi").distinct().join(gear, "mmsi", "left").groupBy(named.alias("gear")).agg(F.count(F.lit(1)).alias("vessels"))
+    return counts.withColumn("fallback", F.col("gear").isin("(unknown)", "unknown"))
+
+
 def history_ranking(pairs: DataFrame) -> DataFrame:
     order = Window.partitionBy("mmsi").orderBy(F.round("hours", 6).desc(), "cell_id")
     return pairs.select("mmsi", F.row_number().over(order).alias("rank"), "cell_id")

@@ -151,6 +151,14 @@ def cell_summary(spark, d):
     return cells.summary(cells.checked(table(spark, d, "cells")))
 
 
+def cell_territories(spark, d):
+    return cells.territories(table(spark, d, "cells"), SOVEREIGN)
+
+
+def gear_counts(spark, d):
+    return ranking.gear_counts(events(spark, d).select("mmsi"), _gear(spark, d))
+
+
 def serving_cells(spark, d):
     return cells.serving_cells(table(spark, d, "cells"), events(spark, d)).select("cell_id")
 
@@ -429,7 +437,7 @@ QUERIES = {
     "year_summary": lambda s, d: clean.year_summary(clean.month_summary(stage(s, d))),
     "missing_days": lambda s, d: clean.missing_days(bronze(s, d)),
     **{f.__name__: f for f in (
-        quarantine_rows, silver_merge, vessel_dedupe, vessel_quarantine, latest_gear, distinct_cells, cell_depth_zonal, cell_eez, cell_in_mpa, cell_port_distance, cell_summary, serving_cells, scope_events, scope_counts, pair_hours, matrix_shape, confidence,
+        quarantine_rows, silver_merge, vessel_dedupe, vessel_quarantine, latest_gear, distinct_cells, cell_depth_zonal, cell_eez, cell_in_mpa, cell_port_distance, cell_summary, cell_territories, gear_counts, serving_cells, scope_events, scope_counts, pair_hours, matrix_shape, confidence,
         test_relevant, protocol_stats, new_ground_window, popularity_topk, popularity_by_gear_topk, ranking_metrics, gear_cold_metrics, leak_check, history_ranking, season_climatology, season_weights, vessel_list, vessel_detail, vessel_history, cell_top_gear,
         cell_detail, mpa_cells, forecast, engine_stats, health, recommendations, factor_recommendations, anomalies, als_fit, als_recommend, foldin_fit, hybrid_recommend, als_metrics, als_tune, vessel_features, factor_scores, factor_topk, anomaly_scores,
     )},

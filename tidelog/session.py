@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import resource
 import shutil
 import tempfile
 
@@ -81,3 +82,10 @@ def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
     """The tables as temporary views, for SQL text."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def peak_memory_mb(spark: SparkSession) -> dict[str, float]:
+    """The most memory that the driver's Python and the driver's JVM heap have taken so far, for reports."""
+    pools = spark._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    heap = sum(p.getPeakUsage().getUsed() for p in pools if p.getType().toString().startswith("Heap"))
+    return {"python": round(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024.0, 1), "jvm_heap": round(heap / 2**20, 1)}

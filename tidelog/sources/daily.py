@@ -32,7 +32,7 @@ def file_date(name: F.Column) -> F.Column:
     return F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})\.csv$", 1).try_cast("date")
 
 
-def _opened(path: str):
+def opened(path: str):
     """A seekable file of any file system that Arrow knows by its address; a plain path is local."""
     if "://" in path or path.startswith("file:"):
         fs, at = FileSystem.from_uri(path)
@@ -51,14 +51,14 @@ class ZipReader(DataSourceReader):
 
     def partitions(self) -> list[Member]:
         """A partition per daily member; only the zip's directory is read for it."""
-        with _opened(self.path) as f, zipfile.ZipFile(f) as z:
+        with opened(self.path) as f, zipfile.ZipFile(f) as z:
             return [Member(m) for m in sorted(z.namelist()) if re.search(DAILY_NAME, m)] or [Member("")]
 
     def read(self, member: Member) -> Iterator[pa.RecordBatch]:
         if not member.name:
             return
         name = member.name.rsplit("/", 1)[-1]
-        with _opened(self.path) as f, zipfile.ZipFile(f) as z, z.open(member.name) as raw:
+        with opened(self.path) as f, zipfile.ZipFile(f) as z, z.open(member.name) as raw:
             held, first = [], 1
             for line in io.TextIOWrapper(raw, "utf-8", errors="replace", newline="\n"):
                 held.append(line.rstrip("\n"))
@@ -146,7 +146,7 @@ def anchorage_table(spark: SparkSession, path: str) -> DataFrame:
 
 # Kinds of polygon files, the preferred first.
 SUFFIXES = [".gdb", ".gpkg", ".shp", ".geojson", ".json"]
-READABLE = [".geojson", ".json"]
+READABLE = [".gpkg", ".geojson", ".json"]
 
 
 def find_area_source(root: str) -> Path | None:
@@ -154,7 +154,7 @@ def find_area_source(root: str) -> Path | None:
     every = [p for p in Path(root).rglob("*") if p.suffix.lower() in SUFFIXES] if Path(root).is_dir() else []
     found = [p for p in every if p.suffix.lower() in READABLE]
     if every and not found:
-        raise ValueError(f"no reader for {', '.join(sorted({p.suffix.lower() for p in every}))}: areas are read from GeoJSON")
+        raise ValueError(f"no reader for {', '.join(sorted({p.suffix.lower() for p in every}))}: areas are read from GeoPackage and GeoJSON")
     return min(found, key=lambda p: (SUFFIXES.index(p.suffix.lower()), len(p.name), p.name), default=None)
 
 
@@ -166,3 +166,10 @@ def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     if not out.limit(1).count():
         raise ValueError(f"{path} has no features")
     return out
+
+
+def area_features(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """area_id, properties and geometry of a polygon file of one of the kinds that can be read."""
+    from tidelog.sources.geopackage import geopackage_features  # it opens its files as this module does
+
+    return geopackage_features(spark, path, layer) if path.lower().endswith(".gpkg") else geojson_features(spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tarfile
 import time
 from collections.abc import Callable
 from pathlib import Path
@@ -85,3 +86,12 @@ def verified(path: str, expected: str) -> bool:
         return True
     p.unlink()
     return False
+
+
+def unpacked(archive: str, into: str, expected: str) -> list[str]:
+    """Unpack a tar of stored artefacts (as save_model and the tables write them) if its digest is the expected one, else an error. Gives the names of its files; none may lead out of the folder."""
+    if not verified(archive, expected):
+        raise ValueError(f"{archive} is not there or has another digest")
+    with tarfile.open(archive) as t:
+        t.extractall(into, filter="data")
+        return [m.name for m in t.getmembers() if m.isfile()]
