@@ -65,43 +65,45 @@ def _matrix(f: pa.Array) -> np.ndarray:
 
 
 def _half_step(grouped: DataFrame, factors: DataFrame, rank: int, regularization: float, n: int) -> DataFrame:
-    """The factors (ix, f) of one side, given the other side's."""
+    """The factors (ix, f) of one side, given the other side's. Entities of one chunk are solved where they are read, those of more from the sums of their chunks."""
     gram = np.zeros((rank, rank))
     for r in factors.mapInPandas(_grams(rank), "g array<double>").collect():  # one row a partition
         gram += np.array(r["g"]).reshape(rank, rank)
+    shipped = None
     if n * rank * 8 <= SHIPPED:
         table = np.zeros((n, rank))
         for b in factors.select("ix", "f").toArrow().to_batches():  # at most SHIPPED bytes
             table[b.column(0).to_numpy()] = _matrix(b.column(1))
         shipped = grouped.sparkSession.sparkContext.broadcast(table)
-        pick, source = (lambda row: shipped.value[np.asarray(row.o)]), grouped
-    else:
-        shipped = None
-        flat = grouped.select("ix", "chunk", "chunks", F.explode(F.arrays_zip("o", "c")).alias("p")).select("ix", "chunk", "chunks", "p.*")
-        joined = flat.join(factors.withColumnRenamed("ix", "o"), "o")
-        source = joined.groupBy("ix", "chunk", "chunks").agg(F.collect_list("c").alias("c"), F.collect_list("f").alias("f"))
-        pick = lambda row: np.stack(row.f)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def source(part: DataFrame) -> DataFrame:
+        if shipped is not None:
+            return part
+        flat = part.select("ix", "chunk", F.explode(F.arrays_zip("o", "c")).alias("p")).select("ix", "chunk", "p.*")
+        return flat.join(factors.withColumnRenamed("ix", "o"), "o").groupBy("ix", "chunk").agg(F.collect_list("c").alias("c"), F.collect_list("f").alias("f"))
+
+    pick = (lambda row: shipped.value[np.asarray(row.o)]) if shipped is not None else (lambda row: np.stack(row.f))
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            solved = [_solved(*_normal(pick(row), np.asarray(row.c, float)), gram, regularization) for row in frame.itertuples(index=False)]
+            yield pd.DataFrame({"ix": frame["ix"], "f": solved})
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ix, f, a_part, b_part = [], [], [], []
-            for row in frame.itertuples(index=False):
-                a, b = _normal(pick(row), np.asarray(row.c, float))
-                whole = row.chunks == 1
-                ix.append(row.ix)
-                f.append(_solved(a, b, gram, regularization) if whole else None)
-                a_part.append(None if whole else a.ravel().tolist())
-                b_part.append(None if whole else b.tolist())
-            yield pd.DataFrame({"ix": ix, "f": f, "a": a_part, "b": b_part})
+            parts = [_normal(pick(row), np.asarray(row.c, float)) for row in frame.itertuples(index=False)]
+            yield pd.DataFrame({"ix": frame["ix"], "a": [a.ravel().tolist() for a, _ in parts], "b": [b.tolist() for _, b in parts]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = np.sum(np.stack(frame["a"]), axis=0).reshape(rank, rank), np.sum(np.stack(frame["b"]), axis=0)
         return pd.DataFrame({"ix": frame["ix"][:1], "f": [_solved(a, b, gram, regularization)]})
 
-    parts = cut(source.mapInPandas(run, "ix int, f array<double>, a array<double>, b array<double>"))
+    one = source(grouped.where(F.col("chunks") == 1)).mapInPandas(whole, "ix int, f array<double>")
+    more = source(grouped.where(F.col("chunks") > 1)).mapInPandas(sums, "ix int, a array<double>, b array<double>").groupBy("ix").applyInPandas(add, "ix int, f array<double>")
+    out = cut(one.unionByName(more))
     if shipped is not None:
-        shipped.destroy()  # parts are written, so nothing asks for it again
-    return parts.where(F.col("f").isNotNull()).select("ix", "f").unionByName(parts.where(F.col("f").isNull()).groupBy("ix").applyInPandas(add, "ix int, f array<double>"))
+        shipped.destroy()  # out is written, so nothing asks for it again
+    return out
 
 
 def _grams(rank: int):
@@ -134,8 +136,8 @@ def fit_als(pairs: DataFrame, factors: int = 64, regularization: float = 0.1, al
     y = items.select("ix").mapInPandas(start, "ix int, f array<double>")
     x = users.select("ix").withColumn("f", F.lit(None).cast("array<double>")).limit(0)
     for _ in range(iterations):
-        x = cut(_half_step(by_user, y, rank, regularization, n_items))
-        y = cut(_half_step(by_item, x, rank, regularization, n_users))
+        x = _half_step(by_user, y, rank, regularization, n_items)
+        y = _half_step(by_item, x, rank, regularization, n_users)
     return users.join(x, "ix").select("mmsi", "ix", "f"), items.join(y, "ix").select("cell_id", "ix", "f")
 
 

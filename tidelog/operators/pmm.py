@@ -276,7 +276,8 @@ def fill_missing(df: DataFrame, row_id: str = "vessel_row_id", draws: int = 5, f
     used = broadcast_if_small(cut(wide.select("field", "key").distinct()), 50_000)
     donors = c.where(has).withColumns({"gap": F.lit(False), "key": F.explode(F.array(F.concat(F.lit("k:"), "kind"), F.lit(EVERYONE)))}).join(used, ["field", "key"], "left_semi").select(*columns)
     both = cut(vessels.unionByName(wide).unionByName(donors))
-    tasks = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // 5_000 + 1), both.count() // rows_per_task + 1)
+    n = both.count()
+    tasks = max(min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 5_000 + 1), n // rows_per_task + 1)
     ordered = cut(both.repartitionByRange(tasks, "field", "key", "pred", "id").sortWithinPartitions("field", "key", "pred", "id"))
     edges = [tuple(r) for r in ordered.mapInPandas(_edges(draws), "field int, key string, pred double, id long, value string").collect()]  # at most 4 * draws rows a task
     schema = "field int, id long, donor_id long, donor_group string, predicted double, donor_predicted double, value string"

@@ -404,6 +404,15 @@ def factor_recommendations(spark, d):
     return rounded(serve.recommendations(s, "7", 20, True, "summer"), "score", "distance_to_port")
 
 
+def als_solve(spark, d):
+    """The vessels' side of one half step with two factors, from given factors of the cells."""
+    _, items, pairs = _stand_ins(spark, d)
+    users, coded = als.indexed(pairs, "mmsi"), cut(als.indexed(items, "cell_id").join(items, "cell_id").select("cell_id", "ix", F.slice("f", 1, 2).alias("f")))
+    rows = als.confidence(pairs.join(users.withColumnRenamed("ix", "u"), "mmsi").join(coded.withColumnRenamed("ix", "i"), "cell_id").select("u", "i", "hours"), 20.0)
+    x = als._half_step(als._grouped(rows, "u", "i"), coded.select("ix", "f"), 2, 0.1, coded.count())
+    return users.join(x, "ix").select("mmsi", *(F.round(F.get("f", F.lit(k)), 6).alias(f"f{k}") for k in (0, 1)))
+
+
 def factor_scores(spark, d):
     users, items, pairs = _stand_ins(spark, d)
     return rounded(als.pair_scores(pairs, users, items), "score")
@@ -439,7 +448,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         quarantine_rows, silver_merge, vessel_dedupe, vessel_quarantine, latest_gear, distinct_cells, cell_depth_zonal, cell_eez, cell_in_mpa, cell_port_distance, cell_summary, cell_territories, gear_counts, serving_cells, scope_events, scope_counts, pair_hours, matrix_shape, confidence,
         test_relevant, protocol_stats, new_ground_window, popularity_topk, popularity_by_gear_topk, ranking_metrics, gear_cold_metrics, leak_check, history_ranking, season_climatology, season_weights, vessel_list, vessel_detail, vessel_history, cell_top_gear,
-        cell_detail, mpa_cells, forecast, engine_stats, health, recommendations, factor_recommendations, anomalies, als_fit, als_recommend, foldin_fit, hybrid_recommend, als_metrics, als_tune, vessel_features, factor_scores, factor_topk, anomaly_scores,
+        cell_detail, mpa_cells, forecast, engine_stats, health, recommendations, factor_recommendations, anomalies, als_fit, als_recommend, foldin_fit, hybrid_recommend, als_metrics, als_tune, als_solve, vessel_features, factor_scores, factor_topk, anomaly_scores,
     )},
     "eda_inventory": _eda("inventory"),
     "eda_ratio_buckets": _eda("ratio_buckets"),
