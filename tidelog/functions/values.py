@@ -11,12 +11,14 @@ NO_VALUE = ["", "-", "--", "?", ".", "na", "n/a", "n.a.", "nan", "nil", "none",
 # Exclusive bounds of true measures.
 BOUNDS = {"length_m": (0.0, 130.0), "engine_power_kw": (0.0, 8500.0), "tonnage_gt": (0.0, 7500.0)}
 
-BLANKS = r"[\s   　​﻿]"
+# Characters that count as blanks.
+BLANKS = " \t\n\x0b\f\r\u00a0\u2007\u202f\u3000\u200b\ufeff"
+ANY_BLANK = f"[{BLANKS}]"
 
 
 def clean_text(c: Column) -> Column:
     """The text without blanks at its ends; null if it is missing."""
-    t = F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", "")
+    t = F.btrim(c, F.lit(BLANKS))
     return F.when(~F.lower(t).isin(NO_VALUE), t)
 
 
@@ -36,9 +38,10 @@ def positive(c: Column) -> Column:
 
 def vessel_of(c: Column) -> Column:
     """The nine-digit number that c can be read as, else null: blanks, hyphens, a leading word MMSI and a trailing .0 are not part of it."""
-    t = F.regexp_replace(F.upper(c), f"^{BLANKS}*(MMSI)?[:#=]?|{BLANKS}+$", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\.0*$", ""), f"[-_]|{BLANKS}", "")
-    return F.when(t.rlike("^[0-9]{9}$"), t)
+    t = F.regexp_replace(F.upper(c), f"^{ANY_BLANK}*(MMSI)?[:#=]?|{ANY_BLANK}+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\.0*$", ""), f"[-_]|{ANY_BLANK}", "")
+    plain = (F.length(c) == 9) & c.rlike("^[0-9]{9}")  # of most rows, which are spared the rest
+    return F.when(plain, c).when(t.rlike("^[0-9]{9}$"), t)
 
 
 VALUE_RULES = {

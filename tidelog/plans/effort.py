@@ -12,7 +12,7 @@ from tidelog.functions import exprs as X
 from tidelog.operators import als, cells, clean, eda, effort, near, ranking, serve
 from tidelog.session import cut, shared_dir, table
 from tidelog.sources import sinks
-from tidelog.sources.geojson import polygon_pieces
+from tidelog.sources.geojson import areas, polygon_pieces
 
 SOVEREIGN = "Norvale"
 
@@ -128,18 +128,19 @@ def cell_depth_zonal(spark, d):
     return rounded(out.select("cell_id", "depth_mean_m", "depth_min_m"), "depth_mean_m")
 
 
-def _pieces(spark, d, areas=None):
-    return polygon_pieces(table(spark, d, "protected_areas") if areas is None else areas)
+def _pieces(spark, d, some=None):
+    return polygon_pieces(table(spark, d, "protected_areas") if some is None else some)
 
 
 def cell_eez(spark, d):
-    areas = table(spark, d, "protected_areas").select("area_id", F.length("geometry").cast("double").alias("area_km2"), "area_name")
-    return cells.smallest_area(table(spark, d, "cells"), _pieces(spark, d), areas, _point()).select("cell_id", "area_id", "area_name")
+    pieces = _pieces(spark, d)
+    sized = table(spark, d, "protected_areas").select("area_id", "area_name").join(areas(pieces), "area_id").select("area_id", F.col("area").alias("area_km2"), "area_name")
+    return cells.smallest_area(table(spark, d, "cells"), pieces, sized, _point()).select("cell_id", "area_id", "area_name")
 
 
 def cell_in_mpa(spark, d):
-    areas = cells.marine_areas(table(spark, d, "protected_areas"))
-    return cells.attach_mpa(table(spark, d, "cells"), _pieces(spark, d, areas), _point()).select("cell_id", "in_mpa")
+    marine = cells.marine_areas(table(spark, d, "protected_areas"))
+    return cells.attach_mpa(table(spark, d, "cells"), _pieces(spark, d, marine), _point()).select("cell_id", "in_mpa")
 
 
 def cell_port_distance(spark, d):

@@ -20,3 +20,12 @@ def polygon_pieces(df: DataFrame, area_id: str = "area_id", geometry: str = "geo
         points = F.expr(f"transform(flatten(rings), p -> get(p, {axis}))")
         out = out.withColumns({f"min_{name}": F.array_min(points), f"max_{name}": F.array_max(points)})
     return out
+
+
+def areas(pieces: DataFrame) -> DataFrame:
+    """area_id and area (square degrees, to six places) of polygon_pieces: outlines without their holes."""
+    at = lambda r, k, axis: F.get(F.get(r, k), F.lit(axis))
+    cross = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda s, k: s + at(r, k - 1, 0) * at(r, k, 1) - at(r, k, 0) * at(r, k - 1, 1))
+    each = F.transform("rings", lambda r: F.abs(cross(r)) / 2.0)
+    area = F.get(each, F.lit(0)) * 2.0 - F.aggregate(each, F.lit(0.0), lambda s, a: s + a)
+    return pieces.groupBy("area_id").agg(F.round(F.sum(area), 6).alias("area"))
