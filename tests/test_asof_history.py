@@ -87,3 +87,11 @@ def test_history_depends_on_the_comparison(spark, monkeypatch):
     assert want == sorted(map(tuple, history_module.history(states, ["kind", "flag"], levels=1).collect()))
     monkeypatch.setattr(history_module, "differing", lambda level, pairs, bits: level[-1].selectExpr("period", "node AS leaf").limit(0))
     assert history_module.history(states, ["kind", "flag"]).count() == 0 < len(want)
+
+
+def test_events_without_entity_or_time_come_out_once(spark):
+    e = spark.createDataFrame([(i, None if i % 2 else "a", None if i % 3 else day(1), f"x{i}") for i in range(60)], "event long, who string, at date, _entity string")
+    known = validity(spark.createDataFrame([(1, "a", day(0))], "id long, who string, start date"), F.col("who"), F.col("start"), F.struct("id"), F.col("id"))
+    low = high = e.agg(month_of(F.max("at"))).first()[0]
+    got = as_known(e, F.col("who"), F.col("at"), {"known": known}, (low, high)).collect()
+    assert sorted(r["event"] for r in got) == list(range(60)) and {r["event"] for r in got if r["known"] == 1} == set(range(0, 60, 6))

@@ -97,3 +97,14 @@ def test_groups_that_end_with_their_batches_stay_apart():
     batches = [batch("length_m_gfw", "v:1", 0), batch("length_m_gfw", "v:2", 10), batch("tonnage_gt_gfw", "v:2", 20)]
     got = pd.concat(_matcher(5, [])(iter(batches)))
     assert sorted(zip(got["field"], got["id"], got["donor_id"], got["donor_group"])) == [("length_m_gfw", 2, 1, "v:1"), ("length_m_gfw", 12, 11, "v:2"), ("tonnage_gt_gfw", 22, 21, "v:2")]
+
+
+def test_one_vessel_with_a_third_of_all_rows(spark):
+    """The hot group is spread over many tasks and still finds its nearest donors."""
+    rows = [row(i, "280000001", "trawlers", 10.0 + i % 97 / 10, {"length_m_gfw": None} if i % 7 == 0 else {}) for i in range(300)]
+    rows += [row(1_000 + i, f"{281000000 + i}", "trawlers", 12.0 + i % 50) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fills = fill_missing(df, rows_per_task=40).collect()
+    want = plain_match(_candidates(df, "vessel_row_id").collect(), 5, 5)
+    assert len(fills) == len(want) == 43 and {r["donor_group"] for r in fills} == {"v:280000001"}
+    assert all((r["donor_group"], round(abs(r["donor_predicted"] - r["predicted"]), 9)) == want[r["field"], r["vessel_row_id"]] for r in fills)

@@ -243,11 +243,17 @@ def _edges(draws: int):
     def outermost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends: list[list] = []  # [group, head, tail] of the first and of the latest group
         for f in frames:
-            for group, g in f[~f["gap"]].groupby(["field", "key"], sort=False):
+            f = f[~f["gap"]]
+            if not len(f):
+                continue
+            field, key = f["field"].to_numpy(), f["key"].to_numpy(object)
+            new = np.flatnonzero((field[1:] != field[:-1]) | (key[1:] != key[:-1])) + 1
+            for g in (f,) if not len(new) else (f[: new[0]], f[new[-1] :]):  # groups between them end where they begin
+                group = (g["field"].iat[0], g["key"].iat[0])
                 if ends and ends[-1][0] == group:
                     if len(ends[-1][1]) < draws:
                         ends[-1][1] = pd.concat([ends[-1][1], g])[:draws]
-                    ends[-1][2] = pd.concat([ends[-1][2], g])[-draws:]
+                    ends[-1][2] = pd.concat([ends[-1][2], g[-draws:]])[-draws:]
                 else:
                     ends[1:] = [[group, g[:draws], g[-draws:]]]
         if ends:

@@ -414,6 +414,16 @@ def als_solve(spark, d):
     return users.join(x, "ix").select("mmsi", *(F.round(F.get("f", F.lit(k)), 6).alias(f"f{k}") for k in (0, 1)))
 
 
+def foldin_solve(spark, d):
+    """Factors folded in from an intercept and one number, by the ridge weights of the vessels that have factors (every third has none)."""
+    users, _, _ = _stand_ins(spark, d)
+    n = F.col("mmsi").cast("int")
+    features = users.select("mmsi", F.array(F.lit(1.0), (n % 10) / 10.0).alias("x"))
+    own = users.where(n % 3 != 0).select("mmsi", F.slice("f", 1, 2).alias("f"))
+    folded = als.hybrid_factors(own, als.fold_in(features, als.fit_foldin(features, own)))
+    return folded.select("mmsi", *(F.round(F.get("f", F.lit(k)), 6).alias(f"f{k}") for k in (0, 1)))
+
+
 def factor_scores(spark, d):
     users, items, pairs = _stand_ins(spark, d)
     return rounded(als.pair_scores(pairs, users, items), "score")
@@ -449,7 +459,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         quarantine_rows, silver_merge, vessel_dedupe, vessel_quarantine, latest_gear, distinct_cells, cell_depth_zonal, cell_eez, cell_in_mpa, cell_port_distance, cell_summary, cell_territories, gear_counts, serving_cells, scope_events, scope_counts, pair_hours, matrix_shape, confidence,
         test_relevant, protocol_stats, new_ground_window, popularity_topk, popularity_by_gear_topk, ranking_metrics, gear_cold_metrics, leak_check, history_ranking, season_climatology, season_weights, vessel_list, vessel_detail, vessel_history, cell_top_gear,
-        cell_detail, mpa_cells, forecast, engine_stats, health, recommendations, factor_recommendations, anomalies, als_fit, als_recommend, foldin_fit, hybrid_recommend, als_metrics, als_tune, als_solve, vessel_features, factor_scores, factor_topk, anomaly_scores,
+        cell_detail, mpa_cells, forecast, engine_stats, health, recommendations, factor_recommendations, anomalies, als_fit, als_recommend, foldin_fit, hybrid_recommend, als_metrics, als_tune, als_solve, foldin_solve, vessel_features, factor_scores, factor_topk, anomaly_scores,
     )},
     "eda_inventory": _eda("inventory"),
     "eda_ratio_buckets": _eda("ratio_buckets"),
