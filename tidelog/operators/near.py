@@ -185,11 +185,7 @@ def containing(points: DataFrame, pieces: DataFrame, point: tuple[str, Column, C
     p = _points(points, *point, height)
     strip = lambda x: F.floor((x + 90.0) / height).cast("int")
     s = pieces.withColumnRenamed("area_id", "site_id").where(F.col("site_id").isNotNull() & F.col("min_lat").isNotNull() & F.col("min_lon").isNotNull())
-    edge = lambda r, k: F.array(*(F.get(F.get(r, x), F.lit(c)) for x in (k, (k + 1) % F.size(r)) for c in (0, 1)))
-    edges = F.flatten(F.transform("rings", lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda k: edge(r, k))))
-    s = s.select("site_id", edges.alias("edges"), "min_lon", "max_lon", "min_lat", "max_lat").withColumn("strip", F.explode(F.sequence(strip(F.greatest(F.col("min_lat"), F.lit(-90.0))), strip(F.least(F.col("max_lat"), F.lit(90.0))))))
-    south, north = F.col("strip") * height - 90.0, (F.col("strip") + 1) * height - 90.0
-    s = s.withColumn("edges", F.filter("edges", lambda e: (F.least(e[1], e[3]) <= north) & (F.greatest(e[1], e[3]) >= south))).where(F.size("edges") > 0)
+    s = s.select("site_id", "rings", "min_lon", "max_lon", "min_lat", "max_lat").withColumn("strip", F.explode(F.sequence(strip(F.greatest(F.col("min_lat"), F.lit(-90.0))), strip(F.least(F.col("max_lat"), F.lit(90.0))))))
     p, s = _ranges(p, s, most, F.lit(POLYGON_RANGES))
     n = F.col("ranges")
     p = p.withColumn("range", F.least(_range(F.col("lon"), n), n - 1)).drop("ranges")
@@ -197,5 +193,10 @@ def containing(points: DataFrame, pieces: DataFrame, point: tuple[str, Column, C
     spanned = F.sequence(_range(F.col("min_lon"), n), _range(F.least(F.col("max_lon"), F.col("min_lon") + 360.0), n))
     s = s.withColumn("range", F.explode(F.when(wide, F.sequence(F.lit(0), n - 1)).otherwise(F.array_distinct(F.transform(spanned, lambda r: F.pmod(r, n)))))).drop("ranges")
     p, s = _dealt(p, s, most)
+    edge = lambda r, k: F.array(*(F.get(F.get(r, x), F.lit(c)) for x in (k, (k + 1) % F.size(r)) for c in (0, 1)))
+    edges = F.flatten(F.transform("rings", lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda k: edge(r, k))))
+    south, north = F.col("strip") * height - 90.0, (F.col("strip") + 1) * height - 90.0
+    reaching = F.filter(edges, lambda e: (F.least(e[1], e[3]) <= north) & (F.greatest(e[1], e[3]) >= south))
+    s = s.withColumn("edges", reaching).drop("rings").where(F.size("edges") > 0)  # only now, so that counting does not make them
     kinds = {f.name: f.dataType.simpleString() for f in (*p.schema, *s.schema)}
     return p.groupBy(*KEYS).cogroup(s.groupBy(*KEYS)).applyInPandas(_sweep_inside, f"point_id {kinds['point_id']}, site_id {kinds['site_id']}").distinct()
