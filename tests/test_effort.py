@@ -169,6 +169,57 @@ def test_models_are_measured_at_both_depths(spark, trained):
     assert all(got[*m, 50] > got[*m, 10] for m in (("als", "warm"), ("content", "warm"), ("hybrid", "warm")))
 
 
+def test_tuning_prepares_the_pairs_once_and_ranks_who_is_scored(spark, monkeypatch):
+    _, pairs = make_pairs(spark)
+    some = pairs.select("mmsi", "cell_id").where(F.col("mmsi").isin([r[0] for r in pairs.select("mmsi").distinct().orderBy("mmsi").limit(2).collect()]))
+    sides, grouped, ranked = [], als._grouped, []
+    monkeypatch.setattr(als, "_grouped", lambda p, own, other: (sides.append(own), grouped(p, own, other))[1])
+    grid = [{"factors": 3, "alpha": a, "iterations": 1} for a in (10.0, 20.0)]
+    als.tune(pairs, some, lambda rankings, relevant: ranked.append({r["mmsi"] for r in rankings.collect()}) or 0.0, grid)
+    assert sorted(sides) == ["i", "u"] and ranked == [{r["mmsi"] for r in some.collect()}] * 2
+
+
+@pytest.mark.parametrize("k", [1, 5, 80])
+def test_best_products_are_brute_force(k):
+    rng = np.random.default_rng(k)
+    y = rng.normal(size=(60, 4)) * rng.exponential(size=(60, 1))
+    y[40:50] = y[:10]  # ties
+    x = rng.normal(size=(9, 4))
+    x[3] = 0.0
+    seen = [rng.choice(60, n, False) if n else None for n in (0, 5, 50, 7, 60, 1, 0, 20, 59)]
+    norms = np.linalg.norm(y, axis=1)
+    row, pos, score = als._best(x, seen, y, np.argsort(-norms, kind="stable"), norms, k, 16)
+    for u in range(9):
+        s = (x[u] * y).sum(axis=1)
+        want = [j for j in np.lexsort((np.arange(60), -s.round(12))) if seen[u] is None or j not in seen[u]][:k]
+        assert pos[row == u].tolist() == want and np.allclose(score[row == u], s[want])
+
+
+def test_few_pairs_are_solved_as_exactly_as_many():
+    rng = np.random.default_rng(5)
+    table, sizes = rng.normal(size=(50, 12)), np.array([1, 30, 4, 12, 7])
+    o, d = rng.integers(0, 50, sizes.sum()), rng.exponential(size=sizes.sum()) * 30
+    d[1] = 0.0
+    for part, reg in ((table, 0.1), (table * 1e-3, 0.01), (np.where(np.arange(12) < 11, table, 0.0), 1.0)):
+        gram, got, at = part.T @ part, als._solved(part, o, d, sizes, part.T @ part, reg), 0
+        for n, f in zip(sizes, got, strict=True):
+            a, b = als._normal(part[o[at : at + n]], d[at : at + n])
+            assert np.allclose(f, np.linalg.solve(a + gram + reg * np.eye(12), b), rtol=1e-8, atol=1e-10)
+            at += n
+
+
+def test_factors_in_files_and_sent_ones_agree(spark, monkeypatch):
+    _, pairs = make_pairs(spark)
+    got = []
+    for mapped in (8 << 30, 0):
+        monkeypatch.setattr(als, "MAPPED", mapped)
+        users, items = als.fit_als(pairs, 4, 0.1, 10.0, 2)
+        got.append((users, {(r["mmsi"], r["rank"]): (r["cell_id"], r["score"]) for r in als.recommend(users, items, pairs, 3, block=9).collect()}))
+    (a, first), (b, second) = got
+    f = [np.array([r["f"] for r in users.orderBy("mmsi").collect()]) for users in (a, b)]
+    assert np.allclose(*f) and first.keys() == second.keys() and all(first[k][0] == second[k][0] and abs(first[k][1] - second[k][1]) < 1e-9 for k in first)
+
+
 def test_als_by_joins(spark, monkeypatch):
     """With nothing shipped the factors are joined to the pairs; users solved from given item factors agree."""
     rows, pairs = make_pairs(spark, 10, 6)

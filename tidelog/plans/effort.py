@@ -62,10 +62,11 @@ def stored_silver(spark, d):
 
 
 def stored_events(spark, d):
-    """The fishing events by month, from the stored silver table."""
+    """The fishing events by month, from the silver table, which is not stored for them alone."""
     path = _layer(spark, d, "events")
     if not sinks.exists(spark, path):
-        sinks.write_months(stored_silver(spark, d).where(effort.is_event()).select("mmsi", "cell_id", "date", "fishing_hours", "year", "month"), path)
+        rows = stored_silver(spark, d) if sinks.exists(spark, _layer(spark, d, "silver")) else silver(spark, d)
+        sinks.write_months(rows.where(effort.is_event()).select("mmsi", "cell_id", "date", "fishing_hours", "year", "month"), path)
     return spark.read.parquet(path)
 
 
@@ -369,7 +370,8 @@ def als_metrics(spark, d):
 def _tuned(e):
     """The best setting of als.GRID on the validation window, and all trials."""
     pairs, relevant = cut(effort.pair_hours(e, effort.VAL_START)), cut(effort.new_grounds(e, effort.VAL_START, effort.TEST_START))
-    score = lambda rankings, rel: ranking.metrics(rankings, rel, _size(e), (10,)).first()["precision"]
+    size = cut(_size(e))
+    score = lambda rankings, rel: ranking.metrics(rankings, rel, size, (10,)).first()["precision"]
     return als.tune(pairs, relevant, score)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import resource
 import shutil
 import tempfile
@@ -43,6 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def mounted_dir(spark: SparkSession) -> str | None:
+    """The shared folder as a path, where it is one of a mounted file system; else None."""
+    scheme, _, path = shared_dir(spark).rpartition(":")
+    return path if scheme in ("", "file") and os.path.isdir(path) else None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there; it survives the loss of executors."""
     shared_dir(df.sparkSession)
