@@ -169,6 +169,17 @@ def test_models_are_measured_at_both_depths(spark, trained):
     assert all(got[*m, 50] > got[*m, 10] for m in (("als", "warm"), ("content", "warm"), ("hybrid", "warm")))
 
 
+def test_metrics_rank_only_who_is_evaluated(spark, trained, monkeypatch):
+    """u0 has nothing in the test window, so no model ranks it."""
+    e = plans.kept_events(spark, "").where("mmsi <> 'u0' OR date < '2024-10-01'").localCheckpoint()
+    ranked, recommend = [], als.recommend
+    monkeypatch.setattr(plans, "kept_events", lambda spark, d: e)
+    monkeypatch.setattr(als, "recommend", lambda users, *more: (ranked.append({r["mmsi"] for r in users.collect()}), recommend(users, *more))[1])
+    monkeypatch.setattr(plans, "_tuned", lambda e: ({**als.GRID[0]}, []))
+    plans.als_metrics(spark, "")
+    assert len(ranked) == 3 and all(r == {*(f"u{u}" for u in range(1, 8)), "new"} for r in ranked[1:]) and "u0" not in ranked[0]
+
+
 def test_tuning_prepares_the_pairs_once_and_ranks_who_is_scored(spark, monkeypatch):
     _, pairs = make_pairs(spark)
     some = pairs.select("mmsi", "cell_id").where(F.col("mmsi").isin([r[0] for r in pairs.select("mmsi").distinct().orderBy("mmsi").limit(2).collect()]))

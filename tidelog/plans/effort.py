@@ -351,15 +351,20 @@ def hybrid_recommend(spark, d):
 
 
 def als_metrics(spark, d):
-    """Fourteen rows of metrics, at 10 and at 50: each model on warm and on cold vessels, fitted with the best setting of the grid."""
+    """Fourteen rows of metrics, at 10 and at 50: each model on warm and on cold vessels, fitted with the best setting of the grid.
+
+    Only the vessels that a protocol evaluates are ranked; metrics() leaves others out."""
     e, pairs, users, items, folded = _folded(spark, d, tuned=True)
     relevant = cut(effort.test_relevant(e))
     warm, cold = relevant.where("is_new_ground AND NOT is_cold_start"), relevant.where("is_cold_start")
-    size = _size(e)
+    size = cut(_size(e))
+    asked = cut(warm.unionByName(cold).select("mmsi").distinct())
+    users, folded = cut(als.only(users, asked)), cut(als.only(folded, asked))
+    seen = cut(als.seen_numbers(als.only(pairs, asked), items))
     zero = folded.select("mmsi", F.transform("f", lambda x: x * 0.0).alias("f"))
     ranked = {"als": als.hybrid_factors(users, zero), "content": folded, "hybrid": als.hybrid_factors(users, folded)}
-    ranked = {name: cut(als.recommend(f, items, pairs, 50)) for name, f in ranked.items()}
-    ranked["popularity_by_gear"] = cut(ranking.popularity_by_gear(e.select("mmsi").distinct(), pairs, _gear(spark, d), 50))
+    ranked = {name: als.recommend(f, items, seen, 50) for name, f in ranked.items()}
+    ranked["popularity_by_gear"] = cut(ranking.popularity_by_gear(als.only(e, cold).select("mmsi").distinct(), pairs, _gear(spark, d), 50))
     out = None
     for model, protocol in (("als", "warm"), ("als", "cold"), ("content", "warm"), ("content", "cold"), ("popularity_by_gear", "cold"), ("hybrid", "warm"), ("hybrid", "cold")):
         m = ranking.metrics(ranked[model], warm if protocol == "warm" else cold, size, (10, 50)).withColumns({"model": F.lit(model), "protocol": F.lit(protocol)})
