@@ -1,8 +1,10 @@
 import datetime as dt
 import random
 
+import duckdb
 import numpy as np
-from tidelog.llm.distinct import ERROR, MERGES, P, counts_of, distinct_counts, estimates, event_groups, merge_sketches, merged, packed, registers_of, sketch_of, sketch_parts, statistics, tokens_of, unpacked
+from tidelog.llm import distinct, queries
+from tidelog.llm.distinct import ERROR, MERGES, P, counts_of, distinct_counts, estimates, event_groups, merge_sketches, merged, packed, registers_of, single_cells, sketch_of, sketch_parts, statistics, tokens_of, union_of, unpacked
 
 
 def hashes(n, seed):
@@ -96,3 +98,39 @@ def test_parts_of_days_make_the_whole(spark):
     again = {tuple(r[:3]): bytes(r[3]) for r in merged(one.unionByName(two)).collect()}
     whole = {tuple(r[:3]): bytes(r[3]) for r in merged(sketch_parts(df, groups, identifiers)).collect()}
     assert again == whole and len(whole) > 80
+
+
+def test_union_of_many_is_that_of_two_by_two():
+    for sizes in ((), (0,), (5, 5, 900), (400, 400, 400), (3, 5_000, 20, 6_000, 1_500)):
+        parts = [sketch_of(np.unique(tokens_of(hashes(n, 9 * i)))) for i, n in enumerate(sizes)]
+        s = b""
+        for x in parts:
+            s = merge_sketches(s, x)
+        assert union_of(parts) == s == sketch_of(np.unique(tokens_of(np.concatenate([hashes(0, 0), *(hashes(n, 9 * i) for i, n in enumerate(sizes))]))))
+
+
+def test_counts_of_single_cells(spark, monkeypatch):
+    monkeypatch.setattr(distinct, "HELD", 500)  # names are forgotten with the parts
+    rng = random.Random(3)
+    ids = ["1.0_2.0", "1.0_2.0 ", "", "\u00e9_\u96ea", None, *(f"{i}.5_-179.9" for i in range(150))]
+    rows = [(None, f"28{rng.randint(0, 9)}{rng.randint(0, 900):06d}" if rng.random() < 0.9 else "x", rng.choice(ids), None, None) for _ in range(3_000)]
+    rows += [(dt.date(2024, 1, 1), f"{277_000_000 + i}", "hot", 1.0, 2.0) for i in range(4_000)] + [(dt.date(2024, 1, 1), "x", "no vessel", 1.0, 2.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, *rows[:500]], "date date, mmsi string, cell_id string, cell_ll_lat double, cell_ll_lon double")
+    got = {r["key"]: (r["what"], r["estimate"]) for r in distinct_counts(df.repartition(5), texts=single_cells()).where("level = 'cell'").collect()}
+    want = {}
+    for _, mmsi, cell, _, _ in rows:
+        if mmsi != "x" and cell is not None:
+            want.setdefault(cell, set()).add(mmsi)
+    assert got.keys() == want.keys() and {"", "hot"} <= got.keys()
+    assert all(got[k][0] == "vessels" and abs(got[k][1] / len(v) - 1) <= 4 * ERROR / 2 ** (P / 2) for k, v in want.items())
+
+
+def test_p5_counts_counts_the_vessels_of_every_cell(spark):
+    d = "/root/testdata/sf0.01"
+    exact = dict(duckdb.sql(f"SELECT cell_id, count(DISTINCT {queries._VESSEL}) FROM read_parquet('{d}/interactions.parquet') GROUP BY 1 HAVING count({queries._VESSEL}) > 0").fetchall())
+    got = queries.p5_counts(spark, d).where("level = 'cell'").collect()
+    assert len(got) == len(exact) > 300 and all(abs(r["estimate"] - exact[r["key"]]) < 0.5 for r in got)
+    parts = queries.p5_sketches(spark, d).where("level IN ('cell', 'cell_group')").groupBy("level").count().collect()
+    assert dict(parts)["cell"] == len(exact) and dict(parts)["cell_group"] > 0
+    assert queries.p5_within_bound(spark, d).where("within AND level <> 'cell'").count() == queries.p5_within_bound(spark, d).count() > 2_000

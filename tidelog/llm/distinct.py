@@ -9,8 +9,8 @@ As long as that takes less room, a sketch is a sorted list of tokens of 32 bits
 of the rest, from which registers follow exactly. Groups of up to a thousand identifiers are thus counted all but exactly.
 
 Each map task builds the sketches of its rows (in numpy, from hashes made in the JVM), so what is shuffled is a part per
-group and task, of at most 2^P bytes. Parts are merged as they stream by, sorted by group, holding one sketch at a time,
-first within every MERGED_TASKS map tasks, then in all: a hot group is neither collected nor left to one task.
+group and task, of at most 2^P bytes. Parts are merged as they stream by, sorted by group, holding those of one group up to
+GATHERED bytes, first within every MERGED_TASKS map tasks, then in all: a hot group is neither collected nor left to one task.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ TOKEN_BITS = 26
 ERROR = 0.761
 #: Tokens that a map task holds before it lets its parts go, and map tasks whose parts meet first.
 HELD, MERGED_TASKS = 4_000_000, 64
+#: Tokens that the name of a group weighs as many as, and bytes of parts of one group that are merged at once.
+NAME_TOKENS, GATHERED = 8, 1 << 20
 
 
 def packed(ranks: np.ndarray) -> np.ndarray:
@@ -85,10 +87,19 @@ def sketch_of(tokens: np.ndarray, p: int = P) -> bytes:
 
 def merge_sketches(a: bytes, b: bytes, p: int = P) -> bytes:
     """The sketch of the union of two sketches; it is the same as if one sketch had seen all identifiers."""
-    if len(a) < 1 << p and len(b) < 1 << p:
-        return sketch_of(np.union1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)), p)
-    x, y = (np.frombuffer(s, np.uint8) if len(s) == 1 << p else registers_of(np.frombuffer(s, np.uint32), p) for s in (a, b))
-    return MERGES[x, y].tobytes()
+    return union_of([a, b], p)
+
+
+def union_of(sketches: list[bytes], p: int = P) -> bytes:
+    """The sketch of the union of any number of sketches."""
+    tokens = np.frombuffer(b"".join(s for s in sketches if len(s) < 1 << p), np.uint32)
+    full = [np.frombuffer(s, np.uint8) for s in sketches if len(s) == 1 << p]
+    if not full:
+        return sketch_of(np.unique(tokens), p)
+    out = registers_of(tokens, p)
+    for registers in full:
+        out = MERGES[out, registers]
+    return out.tobytes()
 
 
 def statistics(codes: np.ndarray) -> tuple[float, np.ndarray]:
@@ -133,38 +144,60 @@ def counts_of(sketches: list[bytes], p: int = P) -> tuple[np.ndarray, np.ndarray
     return out, error
 
 
-KEYS = ["level", "code", "what"]
+#: A group has a number (code) or a text (name).
+KEYS = ["level", "code", "what", "name"]
+PARTS = "level string, code long, what string, sketch binary, name string"
 
 
-def sketch_parts(df: DataFrame, groups: dict[str, Column], identifiers: dict[str, Column], p: int = P) -> DataFrame:
-    """level, code, what, sketch: for each task the sketches of its rows, per level (a whole number codes the group) and kind of identifier.
+def sketch_parts(df: DataFrame, groups: dict[str, Column], identifiers: dict[str, Column], p: int = P, texts: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """level, code, what, sketch, name: for each task the sketches of its rows, per level (a whole number codes the group) and kind of identifier.
 
-    Null codes and identifiers do not count. No more than HELD tokens are held at once."""
-    levels, kinds = list(groups), list(identifiers)
-    hashed = df.select(*(c.cast("long").alias(f"g{i}") for i, c in enumerate(groups.values())), *(F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h{i}") for i, c in enumerate(identifiers.values())))
+    texts: levels whose groups are texts, each with the one kind of identifier that is counted there. Null codes, texts and
+    identifiers do not count. No more than HELD tokens are held at once, and no more than an eighth as many texts."""
+    kinds, texts = list(identifiers), texts or {}
+    levels = [*groups, *texts]
+    counts = [*(range(len(kinds)) for _ in groups), *([kinds.index(what)] for _, what in texts.values())]
+    hashed = df.select(*(c.cast("long").alias(f"g{i}") for i, c in enumerate(groups.values())), *(c.alias(f"t{i}") for i, (c, _) in enumerate(texts.values())), *(F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h{i}") for i, c in enumerate(identifiers.values())))
+    numbered = len(groups)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        names: dict[int, dict[str, int]] = {}
         n = 0
         for b in batches:
             if not b.num_rows:
                 continue
             good = [~b.column(i).is_null().to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-            number = [b.column(i).fill_null(0).to_numpy() for i in range(b.num_columns)]
-            tokens = [tokens_of(np.ascontiguousarray(h)) for h in number[len(levels) :]]
+            number = {i: b.column(i).fill_null(0).to_numpy() for i in range(b.num_columns) if not numbered <= i < len(levels)}
+            tokens = [tokens_of(np.ascontiguousarray(number[len(levels) + k])) for k in range(len(kinds))]
             for g in range(len(levels)):
-                for k in range(len(kinds)):
+                for k in counts[g]:
                     ok = good[g] & good[len(levels) + k]
-                    if ok.any():
-                        pair = _unique(number[g][ok], tokens[k][ok])
-                        held.setdefault((g, k), []).append(pair)
-                        n += len(pair[0])
+                    if not ok.any():
+                        continue
+                    if g < numbered:
+                        code = number[g][ok]
+                    else:
+                        known = names.setdefault(g, {})
+                        n -= NAME_TOKENS * len(known)
+                        code = _coded(b.column(g).filter(pa.array(ok)), known)
+                        n += NAME_TOKENS * len(known)
+                    pair = _unique(code, tokens[k][ok])
+                    held.setdefault((g, k), []).append(pair)
+                    n += len(pair[0])
             if n > HELD:
-                yield from _emitted(held, levels, kinds, p)
-                held, n = {}, 0
-        yield from _emitted(held, levels, kinds, p)
+                yield from _emitted(held, levels, kinds, names, p)
+                held, names, n = {}, {}, 0
+        yield from _emitted(held, levels, kinds, names, p)
+
+    return hashed.mapInArrow(build, PARTS)
+
 
-    return hashed.mapInArrow(build, "level string, code long, what string, sketch binary")
+def _coded(texts: pa.Array, known: dict[str, int]) -> np.ndarray:
+    """Whole numbers for texts, by and into what is known."""
+    different = texts.dictionary_encode()
+    codes = np.array([known.setdefault(x, len(known)) for x in different.dictionary.to_pylist()], np.int64)
+    return codes[different.indices.to_numpy()]
 
 
 def _unique(code: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,51 +207,61 @@ def _unique(code: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[new], token[new]
 
 
-def _emitted(held: dict, levels: list[str], kinds: list[str], p: int) -> Iterator[pa.RecordBatch]:
+def _emitted(held: dict, levels: list[str], kinds: list[str], names: dict[int, dict[str, int]], p: int) -> Iterator[pa.RecordBatch]:
     for (g, k), pairs in held.items():
         code, token = _unique(np.concatenate([c for c, _ in pairs]), np.concatenate([t for _, t in pairs]))
         starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         ends = np.append(starts[1:], len(code))
+        texts = list(names.get(g, ()))  # by number
         for at in range(0, len(starts), 1_000):
             part = slice(at, at + 1_000)
             made = [sketch_of(token[i:j], p) for i, j in zip(starts[part], ends[part], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([levels[g]] * len(made)), pa.array(code[starts[part]]), pa.array([kinds[k]] * len(made)), pa.array(made, pa.binary())], names=[*KEYS, "sketch"])
+            group = code[starts[part]]
+            own = (pa.nulls(len(made), pa.int64()), pa.array([texts[i] for i in group], pa.string())) if texts else (pa.array(group), pa.nulls(len(made), pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([levels[g]] * len(made)), own[0], pa.array([kinds[k]] * len(made)), pa.array(made, pa.binary()), own[1]], names=["level", "code", "what", "sketch", "name"])
 
 
 def merged(parts: DataFrame, p: int = P) -> DataFrame:
-    """One sketch per level, code and what, from any number of parts of each."""
+    """One sketch per level, group and what, from any number of parts of each."""
     salt = F.floor(F.spark_partition_id() / MERGED_TASKS)
     some = _streamed(parts.withColumn("_salt", salt), [*KEYS, "_salt"], p)
     return _streamed(some, KEYS, p)
 
 
 def _streamed(parts: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """Parts of equal keys follow each other; one sketch is held at a time."""
+    """Parts of equal keys follow each other; those of one key are held, merged whenever they take more than GATHERED bytes."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sketch, out = None, b"", []
+        last, same, size, out = None, [], 0, []
+
+        def ended() -> None:
+            level, code, what, name = last[:4]
+            out.append((level, code, what, same[0] if len(same) == 1 else union_of(same, p), name))
 
         def flushed() -> pa.RecordBatch:
-            columns = [pa.array([r[i] for r in out], t) for i, t in ((0, pa.string()), (1, pa.int64()), (2, pa.string()), (3, pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, names=[*KEYS, "sketch"])
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, names=["level", "code", "what", "sketch", "name"])
 
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in (*keys, "sketch")), strict=True)
             for *key, s in rows:
-                if key == last:
-                    sketch = merge_sketches(sketch, s, p)
-                else:
+                if key != last:
                     if last is not None:
-                        out.append((*last[:3], sketch))
-                    last, sketch = key, s
+                        ended()
+                    last, same, size = key, [], 0
+                same.append(s)
+                size += len(s)
+                if size > GATHERED:
+                    same = [union_of(same, p)]
+                    size = len(same[0])
             if len(out) > 2_000:
                 yield flushed()
                 out = []
         if last is not None:
-            out.append((*last[:3], sketch))
+            ended()
         yield flushed()
 
-    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, "level string, code long, what string, sketch binary")
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, PARTS)
 
 
 def counted(sketches: DataFrame, p: int = P) -> DataFrame:
@@ -255,6 +298,11 @@ def event_groups() -> tuple[dict[str, Column], dict[str, Column]]:
     return groups, {"vessels": vessel, "cells": F.col("cell_id")}
 
 
+def single_cells() -> dict[str, tuple[Column, str]]:
+    """The level of single cells, by cell_id as it is: only vessels are counted in it, as a cell has but itself."""
+    return {"cell": (F.col("cell_id"), "vessels")}
+
+
 def unions(sketches: DataFrame, p: int = P) -> DataFrame:
     """The sketches of unions: month, year and all of dates; vessel group of its months; latitude band of cell groups."""
     part = lambda level, code: F.struct(F.lit(level).alias("level"), code.cast("long").alias("code"))
@@ -262,11 +310,11 @@ def unions(sketches: DataFrame, p: int = P) -> DataFrame:
     ups = F.when(F.col("level") == "date", F.array(part("month", _months(day)), part("year", F.year(day)), part("all", F.lit(0))))
     ups = ups.when(F.col("level") == "vessel_group_month", F.array(part("vessel_group", F.floor(code / 1_000_000))))
     ups = ups.when(F.col("level") == "cell_group", F.array(part("latitude_band", F.floor(code / 100_000))))
-    return merged(sketches.select(F.explode(ups).alias("u"), "what", "sketch").select("u.*", "what", "sketch"), p)
+    return merged(sketches.select(F.explode(ups).alias("u"), "what", "sketch").select("u.*", "what", "sketch", F.lit(None).cast("string").alias("name")), p)
 
 
 def named(df: DataFrame) -> DataFrame:
-    """level, key and the rest: the code of a group in words."""
+    """level, key and the rest: the code of a group in words, or its name where there is one."""
     code = F.col("code")
     text = lambda x: x.cast("int").cast("string")
     month = lambda m: F.format_string("%04d-%02d", F.floor(m / 12), m % 12 + 1)
@@ -274,18 +322,19 @@ def named(df: DataFrame) -> DataFrame:
     key = F.when(F.col("level") == "date", F.date_from_unix_date(code.cast("int")).cast("string")).when(F.col("level") == "month", month(code)).when(F.col("level") == "year", text(code)).when(F.col("level") == "all", "all")
     key = key.when(F.col("level") == "vessel_group_month", F.concat(F.lpad(text(F.floor(code / 1_000_000)), 3, "0"), F.lit("|"), month(code % 1_000_000))).when(F.col("level") == "vessel_group", F.lpad(text(code), 3, "0"))
     key = key.when(F.col("level") == "cell_group", F.concat_ws("_", tens(F.floor(code / 100_000)), tens(code % 100_000))).when(F.col("level") == "latitude_band", tens(code))
-    return df.select("level", key.alias("key"), *(c for c in df.columns if c not in ("level", "code")))
+    key = F.coalesce("name", key) if "name" in df.columns else key
+    return df.select("level", key.alias("key"), *(c for c in df.columns if c not in ("level", "code", "name")))
 
 
-def group_sketches(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, p: int = P) -> DataFrame:
-    """level, code, what, sketch of every date, vessel group and month, cell group, and of their unions. keep: stores the sketches of the groups, of which the unions are made."""
-    base = keep(merged(sketch_parts(df, *event_groups(), p), p))
+def group_sketches(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, p: int = P, texts: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """level, code, what, sketch, name of every date, vessel group and month, cell group, of their unions, and of groups by `texts`. keep: stores the sketches of the groups, of which the unions are made."""
+    base = keep(merged(sketch_parts(df, *event_groups(), p, texts), p))
     return base.unionByName(unions(base, p))
 
 
-def distinct_counts(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, p: int = P) -> DataFrame:
-    """level, key, what, estimate, standard_error of every date, month, year, group and their unions.
+def distinct_counts(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, p: int = P, texts: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """level, key, what, estimate, standard_error of every date, month, year, group and their unions, and of groups by `texts`.
 
     Vessels that cannot be read and null cells are not counted; events without a date or place are left out of the groups
     that need it. Repeated events count once. No events, no rows. Other columns are not read."""
-    return named(counted(group_sketches(df, keep, p), p))
+    return named(counted(group_sketches(df, keep, p, texts), p))

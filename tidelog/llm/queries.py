@@ -28,17 +28,17 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Vessels and cells per date, month, year, group and union of groups, with their standard error."""
-    return distinct.distinct_counts(_events(spark, d), cut)
+    """Vessels and cells per date, month, year, group and union of groups, and vessels per cell, with their standard error."""
+    return distinct.distinct_counts(_events(spark, d), cut, texts=distinct.single_cells())
 
 
 def p5_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """The mergeable part of each date, vessel group and month, cell group, and union."""
-    return distinct.named(distinct.group_sketches(_events(spark, d), cut))
+    """The mergeable part of each date, vessel group and month, cell group, union, and cell."""
+    return distinct.named(distinct.group_sketches(_events(spark, d), cut, texts=distinct.single_cells()))
 
 
 def p5_within_bound(spark: SparkSession, d: str) -> DataFrame:
-    """Every exact count, and whether its estimate lies within four standard errors of it."""
+    """Every exact count but those of single cells, and whether its estimate lies within four standard errors of it."""
     groups, identifiers = distinct.event_groups()
     each = F.array(*(F.struct(F.lit(level).alias("level"), code.cast("long").alias("code")) for level, code in groups.items()))
     two = F.array(*(F.struct(F.lit(what).alias("what"), value.alias("value")) for what, value in identifiers.items()))
@@ -49,7 +49,7 @@ def p5_within_bound(spark: SparkSession, d: str) -> DataFrame:
     all_ = F.when(F.col("level") == "date", F.array(own, up("month", F.year(day) * 12 + F.month(day) - 1), up("year", F.year(day)), up("all", F.lit(0))))
     all_ = all_.when(F.col("level") == "cell_group", F.array(own, up("latitude_band", F.floor(F.col("code") / 100_000)))).otherwise(F.array(own, up("vessel_group", F.floor(F.col("code") / 1_000_000))))
     exact = distinct.named(seen.select(F.explode(all_).alias("u"), "what", "value").select("u.*", "what", "value").distinct().groupBy("level", "code", "what").agg(F.count(F.lit(1)).alias("n")))
-    both = exact.join(p5_counts(spark, d), ["level", "key", "what"], "full")
+    both = exact.join(distinct.distinct_counts(_events(spark, d), cut), ["level", "key", "what"], "full")
     near = F.abs(F.col("estimate") - F.col("n")) <= 4 * F.lit(distinct.ERROR / 2 ** (distinct.P / 2)) * F.col("n")
     return both.select("level", "key", "what", "n", F.coalesce(near, F.lit(False)).alias("within"))
 
